@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.operators.skew import heavy_keys
+from thicket.session import cut
+
+
+def states(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The compact states of both tables, joined: (id, file_path, links, symbols), a row for each id and file.
+
+    links: rows of edges whose source the id is, null if none; symbols: rows of nodes with that id and file, null for sources that no
+    node has. Null ids stay as rows that match nothing. No key has more than one row a task before the shuffle."""
+    links = edges.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+    symbols = nodes.groupBy("id", "file_path").agg(F.count(F.lit(1)).alias("symbols"))
+    return links.join(symbols, "id", "full")
 
 
-def found_heavy(tables: Sequence[tuple[str, DataFrame, str]], percent: int = 2) -> DataFrame:
-    """(field, key_value) for each value that at least `percent` % of its table's rows hold.
+def found_heavy(edges: DataFrame, nodes: DataFrame, percent: int = 2) -> DataFrame:
+    """(field, key_value) for each edges.source and nodes.file_path that at least `percent` % of its table's rows hold, rolled up from the joined states.
 
-    tables: (field's name, table, column). Rows count as stored, nulls among the rows but not as a value. An empty table gives nothing."""
-    out = None
-    for field, df, column in tables:
-        states = df.groupBy(F.col(column).cast("string").alias("key_value")).agg(F.count(F.lit(1)).alias("n"))
-        part = states.filter(F.col("key_value").isNotNull() & (F.col("n") * 100 >= F.lit(df.count() * percent)))
-        part = part.select(F.lit(field).alias("field"), "key_value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    Rows count as stored, nulls among the rows but not as a value. Empty tables give nothing."""
+    joined = cut(states(edges, nodes))
+    n_edges, n_nodes = edges.count(), nodes.count()
+    # An id in several files has its links in each of those states.
+    by_source = joined.filter("id is not null and links is not null").groupBy(F.col("id").alias("key_value")).agg(F.max("links").alias("n"))
+    by_file = joined.filter("file_path is not null").groupBy(F.col("file_path").alias("key_value")).agg(F.sum("symbols").alias("n"))
+    sources = by_source.filter(F.col("n") * 100 >= n_edges * percent).select(F.lit("edges.source").alias("field"), "key_value")
+    return sources.unionByName(by_file.filter(F.col("n") * 100 >= n_nodes * percent).select(F.lit("nodes.file_path").alias("field"), "key_value"))
 
 
 def per_source(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -40,9 +49,8 @@ def per_file(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Links are counted by source and nodes by (id, file) before they meet; the counts are multiplied, so repeated ids weigh as in the plain
     join, and summed by file. Files without links get 0; a null file_path comes out as one row."""
-    links = edges.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("l"))
-    states = nodes.groupBy("id", "file_path").agg(F.count(F.lit(1)).alias("r"))
-    joined = states.join(links, "id", "left").groupBy("file_path").agg(F.sum("r").alias("n_symbols"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("n_links"))
+    joined = states(edges, nodes).filter("symbols is not null")
+    joined = joined.groupBy("file_path").agg(F.sum("symbols").alias("n_symbols"), F.coalesce(F.sum(F.col("links") * F.col("symbols")), F.lit(0)).alias("n_links"))
     return joined.select("file_path", "n_symbols", "n_links")
 
 

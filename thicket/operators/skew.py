@@ -65,13 +65,3 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
         before = F.broadcast(before)
     ranked = df.withColumn("_w", F.coalesce(F.sum("_v").over(inner([*keys, "_b"])), F.lit(0)))
     return ranked.join(before, on, "left").withColumn(out, F.col("_w") + F.col("_o")).drop("_v", "_b", "_w", "_o", "_kb", *[f"_k{i}" for i in range(len(keys))])
-
-
-def eager_join_counts(left: DataFrame, right: DataFrame, key: str, roll_up: Sequence[str]) -> DataFrame:
-    """Rows of left joined with right, counted by the columns `roll_up` of right, without making the joined rows.
-
-    Both sides are counted by the join key first (right: by key and roll-up columns), the compact states are joined, their
-    counts multiplied, and the products summed. Null keys join nothing."""
-    a = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_l"))
-    b = right.filter(F.col(key).isNotNull()).groupBy(key, *roll_up).agg(F.count(F.lit(1)).alias("_r"))
-    return a.join(b, key).groupBy(*roll_up).agg(F.sum(F.col("_l") * F.col("_r")).alias("n_links"))

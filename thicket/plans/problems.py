@@ -31,7 +31,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy.found_heavy([("edges.source", table(spark, d, "edges"), "source"), ("nodes.file_path", table(spark, d, "nodes"), "file_path")])
+    return heavy.found_heavy(table(spark, d, "edges"), table(spark, d, "nodes"))
 
 
 def p4_sources(spark: SparkSession, d: str) -> DataFrame:
