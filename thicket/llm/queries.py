@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import percentiles, splitting
+from thicket.llm import mixing, packing, percentiles, splitting
 from thicket.session import table
 
 
@@ -32,7 +32,24 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "content"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p5_found, p5_pieces)}
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.windows(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.windows(table(spark, d, "documents")))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares_reached(mixing.mixture(table(spark, d, "documents"), targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p5_found, p5_pieces, p6_windows, p6_fill, p7_mixture, p7_shares)}
 
 _COUNTED = """WITH once AS (SELECT DISTINCT * FROM work_unit_records),
 v AS (SELECT 'durationms' AS measure, lower(trim(subsystem)) AS subsystem, lower(trim(operation)) AS operation, durationms AS x FROM once WHERE NOT isnan(durationms) AND durationms >= 0
