@@ -41,10 +41,10 @@ def lookup(df: DataFrame, unique: DataFrame, key: str, how: str = "left", hot_sh
     return cold.unionByName(df.filter(is_hot).join(F.broadcast(unique.filter(is_hot)), key, how))
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, out: str = "before", rows: int | None = None, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, out: str = "before", rows: int | None = None, rows_a_bucket: int = ROWS_A_BUCKET, bucket: Column | None = None) -> DataFrame:
     """Add to each row the sum of `value` (1 for None) over the rows of its key that come earlier in the order.
 
-    Order within a key: a hash bucket of `order`, then `order`. A key is cut into so many buckets that no task orders more than
+    Order within a key: a hash bucket of `order`, or `bucket`, a whole number that rises with it, then `order`. A key is cut into so many buckets that no task orders more than
     about rows_a_bucket rows of it; the buckets' sums, few per key, are added up apart. `rows` is df's row count, if known.
     Rows equal in all of `order` get their places in any order."""
     keys, order = list(keys), list(order)
@@ -56,7 +56,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     if rows <= rows_a_bucket:
         return df.withColumn(out, F.coalesce(F.sum("_v").over(inner(keys)), F.lit(0))).drop("_v")
     buckets = -(-rows // rows_a_bucket)
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket)
     sums = cut(df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")))
     before = sums.withColumn("_o", F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     before = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_o")
