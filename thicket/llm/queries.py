@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, packing, percentiles, splitting
+from thicket.llm import handwritten, mixing, packing, percentiles, splitting
 from thicket.session import table
 
 
@@ -24,6 +24,14 @@ def p2_exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.settled(table(spark, d, "work_unit_records"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.found_not_handwritten(table(spark, d, "files"), table(spark, d, "content"))
+
+
+def p3_judged(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judge(table(spark, d, "files"), table(spark, d, "content"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found_wrong_pieces(table(spark, d, "content"), table(spark, d, "content_vectors"))
 
@@ -49,7 +57,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(mixing.mixture(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p5_found, p5_pieces, p6_windows, p6_fill, p7_mixture, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p5_found, p5_pieces, p6_windows, p6_fill, p7_mixture, p7_shares)}
 
 _COUNTED = """WITH once AS (SELECT DISTINCT * FROM work_unit_records),
 v AS (SELECT 'durationms' AS measure, lower(trim(subsystem)) AS subsystem, lower(trim(operation)) AS operation, durationms AS x FROM once WHERE NOT isnan(durationms) AND durationms >= 0
