@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import handwritten, mixing, packing, percentiles, splitting
+from thicket.llm import handwritten, mixing, packing, percentiles, splitting, subjects
 from thicket.session import table
 
 
@@ -57,7 +57,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(mixing.mixture(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p5_found, p5_pieces, p6_windows, p6_fill, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.found_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p5_found, p5_pieces, p6_windows, p6_fill, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 _COUNTED = """WITH once AS (SELECT DISTINCT * FROM work_unit_records),
 v AS (SELECT 'durationms' AS measure, lower(trim(subsystem)) AS subsystem, lower(trim(operation)) AS operation, durationms AS x FROM once WHERE NOT isnan(durationms) AND durationms >= 0
