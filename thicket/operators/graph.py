@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.operators.skew import lookup
-from thicket.session import cut
+from thicket.session import cut, drop_cut
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -40,30 +40,36 @@ def reach(pairs: DataFrame, starts: DataFrame, hops: int | None = None) -> DataF
     return seen
 
 
+def closure(pairs: DataFrame) -> DataFrame:
+    """(a, b) for all nodes b that a reaches over the pairs in one step or more: steps are doubled, so rounds follow the logarithm of the depth."""
+    whole = cut(pairs.distinct())
+    n = whole.count()
+    while n:
+        twice = whole.join(whole.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        more = cut(whole.unionByName(twice).distinct())
+        now = more.count()
+        drop_cut(whole)
+        whole = more
+        if now == n:
+            break
+        n = now
+    return whole
+
+
 def impact(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(id, depth) of what a change of the starts may touch: a container's content at its own depth, whatever depends on a node one deeper."""
-    inside = cut(adjacency(edges, ("contains",)))
+    inside = closure(adjacency(edges, ("contains",)))
     users = cut(adjacency(edges.filter("kind <> 'contains'"), None, reverse=True))
-
-    def close(front: DataFrame, seen: DataFrame | None, depth: int) -> DataFrame:
-        whole = front
-        while True:
-            step = inside.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-            step = step.join(whole, "id", "left_anti")
-            front = cut((step if seen is None else step.join(seen, "id", "left_anti")).withColumn("depth", F.lit(depth)))
-            if front.isEmpty():
-                return whole
-            whole = cut(whole.unionByName(front))
-
-    level = close(cut(starts.select("id").distinct().withColumn("depth", F.lit(0))), None, 0)
-    seen = level
-    for depth in range(1, hops + 1):
-        step = users.join(level.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        first = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if first.isEmpty():
+    follow = lambda pairs, level: pairs.join(level.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+    seen, level = None, starts.select("id").distinct()
+    for depth in range(hops + 1):
+        level = cut(level if seen is None else follow(users, level).join(seen, "id", "left_anti"))
+        level = level.unionByName(follow(inside, level)).distinct()
+        level = cut((level if seen is None else level.join(seen, "id", "left_anti")).withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
             break
-        level = close(first, seen, depth)
-        seen = cut(seen.unionByName(level))
+        seen = level if seen is None else cut(seen.unionByName(level))
+        level = level.select("id")
     return seen
 
 
