@@ -9,7 +9,8 @@ from thicket.functions import text as tx
 from thicket.operators import search
 from thicket.plans.registry import Registry
 from thicket.session import cut, table
-from thicket.sources import sinks
+from thicket.sources import formats, sinks
+from thicket.streaming import streams
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -219,3 +220,41 @@ def _insertable(s: SparkSession, d: str) -> DataFrame:
 
     n = cut(table(s, d, "nodes").select("id"))
     return graph.induced(graph.distinct_edges(table(s, d, "edges")), n).select("source", "target", "kind", "id")
+
+
+# Streams over what is there
+q("st01_windowed_events", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
+    lambda s, d: streams.drained(streams.windowed_counts(streams.parquet_stream(s, d, "events"), "ts", "event_type", "1 day", "40 days"), "complete")
+    .select(C("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+)
+q("st02_bursts", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, burst""")(
+    lambda s, d: streams.drained(streams.bursts(streams.parquet_stream(s, d, "events"), "ts", "user_id", "12 hours", "40 days"), "complete").select("user_id", C("start").cast("timestamp_ntz").alias("start"), "n")
+)
+q("st06_followed_lines", f"SELECT line AS value, count(*) AS n FROM {_LINES} WHERE regexp_matches(line, '(?i) line \\d+ error') GROUP BY 1")(
+    lambda s, d: streams.drained(streams.followed_lines(streams.parquet_stream(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")), r" line \d+ error")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+)
+q("st04_kept_postings", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2")(lambda s, d: _kept(s, d))
+
+
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from thicket.session import shared_dir
+
+    return streams.keep_postings(streams.parquet_stream(s, d, "documents").select("doc_id", "text"), f"{shared_dir(s)}/thicket-kept-{uuid.uuid4().hex}")()
+
+
+q("src42_conflicts")(lambda s, d: formats.conflicts(table(s, d, "content"), "hash", "doc"))
+q("agg19_retrieval_metrics", _RANKS + """, hit AS (SELECT a1.rank, coalesce(d.source = 'handbook', false) AS good FROM a1 JOIN documents d USING (doc_id) WHERE a1.rank <= 10), all_good AS (SELECT count(*) AS n FROM documents WHERE source = 'handbook')
+SELECT round(count(*) FILTER (good) / least(10, (SELECT n FROM all_good)), 6) AS precision_at_10, round(count(*) FILTER (good) / (SELECT n FROM all_good), 6) AS recall_at_10, round(coalesce(1 / min(rank) FILTER (good), 0), 6) AS reciprocal_rank FROM hit""")(
+    lambda s, d: _metrics(s, d)
+)
+
+
+def _metrics(s: SparkSession, d: str) -> DataFrame:
+    good = docs(s, d).filter("source = 'handbook'").select("doc_id", F.lit(True).alias("g"))
+    n = good.count()
+    top = _lists(s, d)[0].filter("rank <= 10").join(good, "doc_id", "left")
+    hits = F.count_if(F.coalesce("g", F.lit(False)))
+    return top.agg(F.round(hits / min(10, max(1, n)), 6).alias("precision_at_10"), F.round(hits / max(1, n), 6).alias("recall_at_10"), F.round(F.coalesce(1 / F.min(F.when(C("g"), C("rank"))), F.lit(0.0)), 6).alias("reciprocal_rank"))
