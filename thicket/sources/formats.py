@@ -54,8 +54,8 @@ def captions(df: DataFrame, key: str, text: str) -> DataFrame:
     start = F.regexp_extract("cue", r"(?m)^(?:(\d+):)?(\d\d):(\d\d)\.\d+ --> ", 0)
     timed = cues.withColumn("s", start).filter("s <> ''")
     part = lambda i: F.coalesce(F.regexp_extract("cue", r"(?m)^(?:(\d+):)?(\d\d):(\d\d)\.\d+ --> ", i).try_cast("int"), F.lit(0))
-    said = timed.withColumn("minute", part(1) * 60 + part(2)).withColumn("line", F.explode(F.split(F.regexp_replace("cue", r"(?s)^.*? --> [^\n]*\n?", ""), "\n"))).withColumn("line", F.trim(F.regexp_replace("line", "<[^>]*>", ""))).filter("line <> ''")
-    grouped = said.groupBy(key, "minute").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
+    said = timed.withColumn("minute", part(1) * 60 + part(2)).select("*", F.posexplode(F.split(F.regexp_replace("cue", r"(?s)^.*? --> [^\n]*\n?", ""), "\n")).alias("place", "line")).withColumn("line", F.trim(F.regexp_replace("line", "<[^>]*>", ""))).filter("line <> ''")
+    grouped = said.groupBy(key, "minute").agg(F.sort_array(F.collect_list(F.struct("at", "place", "line"))).alias("l"))
     kept = F.filter("l", lambda x, i: (i == 0) | (F.col("l")[F.greatest(i - 1, F.lit(0))]["line"] != x["line"]))
     return grouped.select(key, "minute", F.array_join(F.transform(kept, lambda x: x["line"]), " ").alias("text"))
 
