@@ -50,6 +50,16 @@ def test_passages():
     assert s.runs(5) == [(0, 5)] and s.runs(9)[0] == (0, 4) and s.runs(9)[-1][1] == 9
 
 
+def test_passages_after_fences_and_in_long_lines():
+    text = "Before it.\n\n```py\ncode\n``` — naïve café\n\nBetween them.\n\n~~~\nmore\n~~~~ \nAfter it.\n\n````\n```\nstill code\n````\nThe end."
+    assert s.passages(text) == [["Before it."], ["— naïve café"], ["Between them."], ["After it."], ["The end."]]
+    assert s.passages("```a``` is short. It stays.") == [["```a``` is short.", "It stays."]]
+    long = "The court met. " * 20
+    assert s.passages("## 1.2 - " + long) == [["1.2 - The court met.", *["The court met."] * 19]]
+    assert s.passages(long + "It left with exit=1 then. " + long) == [["The court met."] * 40]
+    assert s.passages("## A heading") == []
+
+
 def corpus(rnd, n):
     words = {"sport": "goal match referee league striker".split(), "law": "court judge statute clause plaintiff".split(), "music": "violin chord tempo opera melody".split()}
     rows = []
