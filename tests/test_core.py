@@ -191,3 +191,14 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_resolution_edges(spark):
+    names = {f"n{i}": "six" for i in range(6)} | {"a": "full", "b": "over", "c": "over", "s": None}
+    nodes = spark.createDataFrame([(i, n, f"{i}.py", "python") for i, n in names.items()], "id string, name string, file_path string, language string")
+    links = [("s", f"n{i}", None) for i in range(6)] + [("s", "a", "scip")] * 500 + [("s", "a", "heuristic")] * 3 + [("s", "b", None)] * 300 + [("s", "c", None)] * 201 + [("gone", "n1", None), ("s", "gone", None), ("a", "s", None)]
+    edges = spark.createDataFrame([(k, a, b, "calls", p) for k, (a, b, p) in enumerate(links)], "id long, source string, target string, kind string, provenance string")
+    rows = graph.resolution_edges(edges, nodes).collect()
+    assert {r.edge_id for r in rows} == set(range(506)) and len(rows) == 506
+    assert {tuple(r)[1:] for r in rows if r.name == "full"} == {("full", "s", "a", "calls", "s.py", "python")}
+    assert {r.name for r in graph.resolution_edges(edges, nodes, 5).collect()} == set()

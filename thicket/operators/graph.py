@@ -140,6 +140,20 @@ def resolve_names(refs: DataFrame, nodes: DataFrame, ceiling: int = 500) -> Data
     return best.select("ref_id", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
 
 
+def resolution_edges(edges: DataFrame, nodes: DataFrame, ceiling: int = 500) -> DataFrame:
+    """(edge_id, name, source, target, kind, source_file_path, source_language): the edges that names were resolved to, with the file each begins in.
+
+    Heuristic edges are left out, and names that more than `ceiling` of the other edges end at. Those are counted by target first, so the edges of hot targets
+    are gone before they are joined."""
+    e = edges.filter("not (provenance <=> 'heuristic')")
+    targets = nodes.select(F.col("id").alias("target"), "name").filter("name is not null")
+    n = cut(e.groupBy("target").agg(F.count(F.lit(1)).alias("n")).join(targets, "target"))
+    kept = n.join(n.groupBy("name").agg(F.sum("n").alias("all")).filter(F.col("all") <= ceiling).select("name"), "name", "left_semi").select("target", "name")
+    met = cut(lookup(e.select(F.col("id").alias("edge_id"), "source", "target", "kind"), cut(kept), "target", "inner"))
+    places = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_file_path"), F.col("language").alias("source_language"))
+    return lookup(met, places, "source", "inner").select("edge_id", "name", "source", "target", "kind", "source_file_path", "source_language")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): added, removed or modified keys of two snapshots; equal ones are left out."""
     a, b = old.select(key, F.col(digest).alias("_a"), F.lit(1).alias("_o")), new.select(key, F.col(digest).alias("_b"), F.lit(1).alias("_n"))

@@ -122,6 +122,10 @@ def _ceiling(s: SparkSession, d: str) -> DataFrame:
     return e.join(named, "target").groupBy("name").agg(F.sum("n").alias("n_edges"))
 
 
+q("jn12_resolution_edges", """WITH t AS (SELECT e.*, n.name FROM edges e JOIN nodes n ON n.id = e.target WHERE e.provenance IS DISTINCT FROM 'heuristic'), k AS (SELECT name FROM t GROUP BY 1 HAVING count(*) <= 500)
+SELECT t.id AS edge_id, t.name, t.source, t.target, t.kind, s.file_path AS source_file_path, s.language AS source_language FROM t JOIN k USING (name) JOIN nodes s ON s.id = t.source""")(
+    lambda s, d: graph.resolution_edges(edges(s, d), nodes(s, d))
+)
 q("jn18_dangling_edges", "SELECT id, source, target FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)")(
     lambda s, d: edges(s, d).select("id", "source", "target").join(nodes(s, d).select(F.col("id").alias("source")), "source", "left_anti")
     .unionByName(edges(s, d).select("id", "source", "target").join(nodes(s, d).select(F.col("id").alias("source")), "source", "left_semi").join(nodes(s, d).select(F.col("id").alias("target")), "target", "left_anti"))
