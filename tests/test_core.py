@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -202,3 +204,42 @@ def test_resolution_edges(spark):
     assert {r.edge_id for r in rows} == set(range(506)) and len(rows) == 506
     assert {tuple(r)[1:] for r in rows if r.name == "full"} == {("full", "s", "a", "calls", "s.py", "python")}
     assert {r.name for r in graph.resolution_edges(edges, nodes, 5).collect()} == set()
+
+
+def slug_of(path):
+    kind = lambda c: unicodedata.category(c)
+    word = lambda c: kind(c)[0] in "LN" or c == "$"
+    name = re.sub(r"\.[^.]+\Z", "", ([x for x in path.split("/") if x] or [""])[-1])
+    if not any(word(c) or kind(c) in ("So", "Sk") for c in name):
+        return None
+
+    def hexed(part):
+        out, i = "", 0
+        while i < len(part):
+            run = []
+            while i < len(part) and kind(part[i]) in ("So", "Sk"):
+                run.append(f"{ord(part[i]):x}")
+                i += 2 if kind(part[i]) == "So" and i + 1 < len(part) and kind(part[i + 1]) == "Mn" else 1
+            out += "-".join(run)
+            if not run:
+                out, i = out + part[i], i + 1
+        return out
+
+    clean = lambda x: re.sub("-+", "-", "".join(c if word(c) else "-" for c in x)).strip("-")
+    parts = [hexed(x) for x in path.replace("___", "/").split("/")]
+    ext = re.search(r"(\.[A-Za-z0-9]+)\Z", parts[-1])
+    ext = ext[1] if ext else ""
+    return "/".join(x for x in [*map(clean, parts[:-1]), clean(parts[-1][: len(parts[-1]) - len(ext)]) + ext] if x) or None
+
+
+def test_slugs_of_all_paths(spark, data):
+    from thicket.plans.text_queries import QUERIES, table
+
+    rnd = random.Random(12)
+    paths = ["___", "a___b.md", "/x//y/__z__.py", "🐘.md", "a🐘🎉b/c✅\ufe0f✅.m🐘", "^`a.md", "a/.env", "a/", "-/-b-.c-d", "x.\u00e9", "$id.tsx", ".md", " ", "", "a/___.md"]
+    paths += ["".join(rnd.choice("ab/._-$ü🐘\ufe0f^日 ") for _ in range(rnd.randint(1, 14))) for _ in range(1500)]
+    got = dict(spark.createDataFrame([(p,) for p in set(paths)], "path string").select("path", tx.slug(F.col("path"))).collect())
+    assert got == {p: slug_of(p) for p in set(paths)}
+    assert slug_of("a🐘🎉b/c.m") == "a1f418-1f389b/c.m" and slug_of("src/__gen__/_x_.py") == "src/gen/x.py"
+    rows = [tuple(r) for r in QUERIES["src12_all_slugs"](spark, data).collect()]
+    assert len(rows) == table(spark, data, "files").count() and all(s == slug_of(p) for p, s in rows)

@@ -116,12 +116,29 @@ def redact(text: Column) -> Column:
     return text
 
 
+def symbols_as_hex(text: Column) -> Column:
+    """Emoji and other symbols as code points in hex, a dash between those of a run; a mark after one of them goes."""
+    c = F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    at = lambda i: F.get(c, i)
+    other, modifier, mark = (lambda x, p=p: F.coalesce(x.rlike(p), F.lit(False)) for p in (r"^\p{So}$", r"^\p{Sk}$", r"^\p{Mn}$"))
+    swallowed = lambda i: mark(at(i)) & other(at(i - 1))
+    goes_on = lambda i: other(at(i - 1)) | modifier(at(i - 1)) | (swallowed(i - 1))
+    hexed = lambda x, i: F.when(other(x) | modifier(x), F.concat(F.when(goes_on(i), "-").otherwise(""), F.lower(F.hex(F.ascii(x))))).when(swallowed(i), "").otherwise(x)
+    return F.when(text.rlike(r"[\p{So}\p{Sk}]"), F.array_join(F.transform(c, hexed), "")).otherwise(text)
+
+
 def slug(path: Column) -> Column:
-    """Runs of anything but letters, digits, $ and slashes become dashes; none at the ends of parts; the extension is kept."""
-    ext = F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)
-    stem = F.substr(path, F.lit(1), F.length(path) - F.length(ext))
-    stem = F.regexp_replace(F.replace(stem, F.lit("___"), F.lit("/")), r"[^\p{L}\p{N}$/]+", "-")
-    return F.concat(F.regexp_replace(stem, "(^|/)-+|-+(?=/|$)", "$1"), ext)
+    """A path's parts with runs of anything but letters, digits and $ as dashes, none at the ends of parts; "___" parts too, symbols become hex, the extension is kept.
+
+    Null where the file's name without its extension has no letter, digit, symbol or $, which the reference refuses."""
+    name = F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"(?s)\.[^.]+$", "")
+    text = symbols_as_hex(F.replace(path, F.lit("___"), F.lit("/")))
+    ext = F.regexp_extract(text, r"(\.[A-Za-z0-9]+)\z", 1)
+    stem = F.substr(text, F.lit(1), F.length(text) - F.length(ext))
+    stem = F.regexp_replace(F.regexp_replace(stem, r"[^\p{L}\p{N}$/]+", "-"), r"(^|/)-+|-+(?=/|\z)", "$1")
+    # Empty parts go; a slash before the extension stays, as the extension is a part then.
+    whole = F.regexp_replace(F.regexp_replace(F.concat(stem, ext), "/{2,}", "/"), r"^/|/\z", "")
+    return F.when(name.rlike(r"[\p{L}\p{N}\p{So}\p{Sk}$]") & (whole != ""), whole)
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -47,6 +47,7 @@ q("src11_distinct_content", "SELECT hash, min(doc_id) AS doc_id, count(*) AS n F
 q("src12_slugs", r"SELECT path, regexp_replace(regexp_replace(left(path, length(path) - length(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1))), '[^\p{L}\p{N}$/]+', '-', 'g'), '-+$', '') || regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1) AS slug FROM (SELECT path FROM files WHERE NOT contains(path, '___') AND NOT contains(path, '/_'))")(
     lambda s, d: table(s, d, "files").filter(~C("path").contains("___") & ~C("path").contains("/_")).select("path", tx.slug(C("path")).alias("slug"))
 )
+q("src12_all_slugs")(lambda s, d: table(s, d, "files").select("path", tx.slug(C("path")).alias("slug")))
 q("src14_file_types", "SELECT CASE WHEN e IN ('md', 'mdx', 'rst') THEN 'markdown' WHEN e IN ('json', 'yaml', 'yml', 'toml', 'xml', 'ini') THEN 'structured' WHEN e IN ('csv', 'tsv') THEN 'tabular' WHEN e = 'log' THEN 'log' WHEN e = '' THEN 'other' ELSE 'code' END AS file_type, count(*) AS n FROM (SELECT lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM files) GROUP BY 1".replace("\\\\", "\\"))(
     lambda s, d: table(s, d, "files").groupBy(tx.file_type(C("path")).alias("file_type")).agg(F.count(F.lit(1)).alias("n"))
 )
