@@ -243,3 +243,21 @@ def test_slugs_of_all_paths(spark, data):
     assert slug_of("a🐘🎉b/c.m") == "a1f418-1f389b/c.m" and slug_of("src/__gen__/_x_.py") == "src/gen/x.py"
     rows = [tuple(r) for r in QUERIES["src12_all_slugs"](spark, data).collect()]
     assert len(rows) == table(spark, data, "files").count() and all(s == slug_of(p) for p, s in rows)
+
+
+def test_bm25_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    rnd = random.Random(4)
+    texts = {i: " ".join(rnd.choice(["über", "der", "café", "日本", "a", "b", "c", "der"]) for _ in range(rnd.randint(0, 9))) for i in range(120)} | {120: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in search.bm25_queries(df, df.filter("doc_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.doc_id, round(r.score, 6)))
+    held = {i: Counter((t or "").split()) for i, t in texts.items()}
+    average = sum(map(Counter.total, held.values())) / len(held)
+    n_with = Counter(t for c in held.values() for t in c)
+    idf = {t: np.log(1 + (len(held) - d + 0.5) / (d + 0.5)) for t, d in n_with.items()}
+    for i in range(0, 121, 10):
+        score = {j: round(sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / average)) for t in held[i] if c[t]), 9) for j, c in held.items() if j != i}
+        want = sorted(((j, x) for j, x in score.items() if x > 0), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[i] == [(j, round(x, 6)) for j, x in want]

@@ -19,6 +19,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits of any script, cut where a capital follows a small letter, in lower case."""
+    cut_at_case = F.regexp_replace(text, r"(?<=\p{IsLowercase})(?=\p{IsUppercase})", " ")
+    return F.regexp_extract_all(F.lower(cut_at_case), F.lit(r"[\p{IsAlphabetic}\p{N}]+"), 0)
+
+
 def content_words(text: Column, least: int = 2) -> Column:
     """words() of `least` characters or more that are no stop words."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])

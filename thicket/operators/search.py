@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import words
+from thicket.functions.text import tokens, words
 from thicket.session import cut
 
 
@@ -39,6 +39,63 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float =
     return tf.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def bm25_queries(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score, rank): for each row of `queries` the k documents that its distinct tokens score best by BM25, itself left out; ties at nine digits by key.
+
+    Exact: statistics are of all documents. Queries' terms, with their document counts, go out in blocks of about BLOCK / 2 queries; each task scores its documents against
+    a block where they lie and keeps its k best for each query, and only those are shuffled."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    none = F.array().cast("array<string>")
+    sized = cut(docs.select(key, F.coalesce(tokens(F.col(text)), none).alias("w")).select(key, F.size("w").alias("len"), F.array_join("w", " ").alias("w")))
+    n, average = sized.agg(F.count(F.lit(1)), F.avg("len")).collect()[0]
+    asked = cut(queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")))
+    counts = cut(sized.select(F.explode(F.array_distinct(F.split("w", " "))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // (BLOCK // 2)))
+    out = None
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).groupBy("term").agg(F.collect_list("query_id").alias("ids")).join(counts, "term").toPandas()
+        if part.empty:
+            continue
+        idf = np.log(1 + (n - part["df"].to_numpy() + 0.5) / (part["df"].to_numpy() + 0.5))
+        ids, places = np.unique(np.concatenate(part["ids"].tolist()), return_inverse=True)
+        edges = np.cumsum([0, *map(len, part["ids"])])
+        sent = spark.sparkContext.broadcast(({t: j for j, t in enumerate(part["term"])}, idf, ids, places.astype(np.int32), edges))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            at, idf, ids, places, edges = sent.value
+            lists = [places[x:y] for x, y in zip(edges[:-1], edges[1:])]
+            together = lambda held: _best(pd.DataFrame(dict(zip(("query_id", key, "score"), map(np.concatenate, zip(*held))))), key, k)
+            held, rows = [], 0
+            least = np.zeros(len(ids))  # what a document must score to be among the k best of a query so far
+            for pdf in batches:
+                for doc, size, w in zip(pdf[key].tolist(), pdf["len"].tolist(), pdf["w"].tolist()):
+                    terms, tf = np.unique(np.array([j for j in map(at.get, w.split(" ")) if j is not None], np.int64), return_counts=True)
+                    if not len(terms):
+                        continue
+                    weight = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average))
+                    met = [lists[j] for j in terms]
+                    score = np.bincount(np.concatenate(met), np.repeat(weight, [len(x) for x in met]), len(ids)).round(9)
+                    good = np.flatnonzero((score > 0) & (score >= least) & (ids != doc))
+                    if len(good):
+                        held.append((ids[good], np.full(len(good), doc), score[good]))
+                        rows += len(good)
+                    if rows > 20 * k * len(ids):
+                        best = together(held)
+                        held, rows = [tuple(best[c].to_numpy() for c in best)], 0
+                        full = best.groupby("query_id")["score"].agg(["size", "min"])
+                        full = full[full["size"] >= k]
+                        least[np.searchsorted(ids, full.index.to_numpy())] = full["min"].to_numpy()
+            if held:
+                yield together(held)
+
+        found = sized.mapInPandas(run, f"query_id {kind}, `{key}` {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return docs.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def ranked(scores: DataFrame, key: str, limit: int, score: str = "score") -> DataFrame:
     """The best `limit` rows with rank from 1; ties by key. Sorted partly before it is gathered."""
     top = scores.orderBy(F.desc(score), key).limit(limit)

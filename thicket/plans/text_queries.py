@@ -95,6 +95,13 @@ tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len, unnest
 s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))) AS score FROM tf JOIN df USING (term), a GROUP BY 1)"""
 _TERMS = ("gravity", "wave", "cache")
 q("rk12_bm25", _BM + " SELECT doc_id, round(score, 6) AS score FROM s")(lambda s, d: search.bm25(docs(s, d), "doc_id", "text", _TERMS).select("doc_id", F.round("score", 6).alias("score")))
+q("rk12_bm25_queries", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '(\p{Ll})(\p{Lu})', '\1 \2', 'g')), '[\p{L}\p{N}]+') AS w FROM documents), a AS (SELECT count(*) AS n, avg(len(w)) AS average FROM w),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * d.len / average))), 9) AS score
+ FROM tf q JOIN tf d ON d.term = q.term AND d.doc_id <> q.doc_id JOIN df ON df.term = q.term, a WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")(
+    lambda s, d: search.bm25_queries(docs(s, d), docs(s, d).filter("doc_id % 100 = 0"), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+)
 _RANKS = _BM + """, a1 AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 50), a2 AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE active = 1 QUALIFY rank <= 50)"""
 
 
