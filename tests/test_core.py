@@ -245,6 +245,10 @@ def test_slugs_of_all_paths(spark, data):
     assert len(rows) == table(spark, data, "files").count() and all(s == slug_of(p) for p, s in rows)
 
 
+def test_tokens_of_any_script(spark):
+    assert one(spark, tx.tokens(F.lit("Über weiß loadGraph2Fast HTTPServer 日本語の x²ü_Ω हिन्दी"))) == ["über", "weiß", "load", "graph2fast", "httpserver", "日本語の", "x²ü", "ω", "हिन", "दी"]
+
+
 def test_bm25_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 8)
     rnd = random.Random(4)

@@ -135,6 +135,9 @@ q("rk60_token_estimate", "SELECT doc_id, ceil(length(text) / 4)::BIGINT AS n_tok
 q("sc09_vocabulary", "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")(
     lambda s, d: search.postings(docs(s, d), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 )
+q("sc09_tokens")(
+    lambda s, d: docs(s, d).select("doc_id", F.explode(tx.tokens(C("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+)
 q("sc11_content_words", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], x))) AS n FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", F.size(tx.content_words(C("text"))).cast("long").alias("n"))
 )
