@@ -18,10 +18,24 @@ def test_knapsack():
     rnd = random.Random(2)
     sizes = np.array(sorted(rnd.sample(range(1, 40), 9)))
     values = np.array([rnd.random() for _ in sizes])
-    best, last = packing.knapsack(sizes, values, 60)
+    best = packing.knapsack(sizes, values, 60)
     assert np.allclose(best, brute_knapsack(sizes, values, 60))
-    pattern = packing._pattern(sizes, last, 60)
-    assert sum(sizes[i] * n for i, n in pattern.items()) <= 60 and np.isclose(sum(values[i] * n for i, n in pattern.items()), best[60])
+    first = int(np.argmax(values / sizes))
+    pattern = packing._pattern(sizes, np.full(9, 99), values, best, 60, first, np.ones(9, bool))
+    assert sum(sizes[i] * n for i, n in pattern.items()) <= 60 and np.isclose(sum(values[i] * n for i, n in pattern.items()), values[first] + best[60 - sizes[first]])
+    scarce = packing._pattern(sizes, np.ones(9, int), values, best, 60, first, np.arange(9) != 3)
+    assert set(scarce.values()) == {1} and (3 not in scarce or first == 3)
+
+
+def test_program_chooses_most_containers_and_beats_largest_first(spark):
+    sized = tokens.token_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ["doc_id"]).selectExpr("n_tokens % 2048 as n").filter("n > 0").groupBy("n").count().toPandas()
+    sizes, counts = sized["n"].to_numpy("int64"), sized["count"].to_numpy("int64")
+    got, bound, by_program = packing.plan(sizes, counts, 2048)
+    total, volume = sum(t for _, t in got), (sizes * counts).sum() / 2048
+    alone = packing.Plan(sizes, counts, 2048)
+    alone.fill_up()
+    assert by_program >= 0.9 * total and total <= sum(t for _, t in alone.patterns)
+    assert volume * 0.99 <= bound <= total + 1e-6 and total <= bound * 1.002 + 1
 
 
 @pytest.mark.parametrize("many", [1, 5000])
@@ -29,7 +43,7 @@ def test_plan_places_everything_with_little_room_left(many):
     rnd = random.Random(many)
     sizes = np.array(sorted(rnd.sample(range(20, 260), 60)))
     counts = np.array([rnd.randrange(1, 6) * many for _ in sizes])
-    got, bound = packing.plan(sizes, counts, 256)
+    got, bound, by_program = packing.plan(sizes, counts, 256)
     used = Counter()
     for pattern, times in got:
         assert sum(s * n for s, n in pattern) <= 256 and times > 0
@@ -37,8 +51,8 @@ def test_plan_places_everything_with_little_room_left(many):
             used[s] += n * times
     assert used == Counter(dict(zip(sizes.tolist(), counts.tolist())))
     n = sum(t for _, t in got)
-    assert bound <= n + 1e-9 and n <= bound * 1.06 + 3
-    assert packing.plan(np.array([], int), np.array([], int)) == ([], 0.0)
+    assert bound <= n + 1e-9 and n <= bound * 1.06 + 3 and by_program > 0.5 * n
+    assert packing.plan(np.array([], int), np.array([], int)) == ([], 0.0, 0)
     with pytest.raises(ValueError):
         packing.plan(np.array([300]), np.array([1]), 256)
 

@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity with whole items.
 
 The histogram of item sizes, no longer than the capacity, is all the driver sees. The configuration linear program, which chooses how often each pattern
-of sizes is used so that all items are covered by as few containers as possible, is solved by multiplicative weights: sizes still badly covered get dear, and an
-unbounded knapsack by dynamic programming finds the patterns that are worth most. Its solution is rounded down and the few items left over are placed first-fit
-by size. Items get their containers by their rank among items of their size, from a table with a row for each pattern and size.
+of sizes is used so that all items are covered by as few containers as possible, is solved by multiplicative weights: sizes that are covered get cheap, and an
+unbounded knapsack by dynamic programming finds the patterns that are worth most. Its solution is rounded by largest remainders, the program of what is left is
+solved and rounded again, and the few items left in the end are placed largest first. Items get their containers by their rank among items of their size, from a
+table with a row for each pattern and size.
 """
 
 from __future__ import annotations
@@ -20,103 +21,144 @@ from thicket.operators.skew import running_totals
 from thicket.session import cut
 
 CAPACITY = 2_048
-#: Rounds of the multiplicative weights, their step, and patterns taken from one knapsack table.
-ROUNDS, STEP, PATTERNS = 60, 0.25, 48
+#: Rounds of the multiplicative weights, the step of their logarithm, and patterns taken from one knapsack table.
+ROUNDS, STEP, PATTERNS = 12, 0.1, 96
+#: Programs solved for what rounding leaves, and the share of the volume that is small enough to be placed largest first.
+PASSES, REST = 6, 0.005
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(best, last): the most value that fits each capacity from 0, items used as often as wanted, and the place of the size added last (-1: none)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The most value that fits each capacity from 0, items used as often as wanted; sizes are sorted."""
+    best = np.zeros(capacity + 1)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -2
         n = upto[c]
-        if n:
-            worth = best[c - sizes[:n]] + values[:n]
-            at = int(worth.argmax())
-            if worth[at] > best[c]:
-                best[c], last[c] = worth[at], at
-    return best, last
-
-
-def _pattern(sizes: np.ndarray, last: np.ndarray, room: int, first: int | None = None) -> dict[int, int]:
-    """Places of sizes and how often, read back from a knapsack table for the room that is left beside one item of place `first`."""
-    out: dict[int, int] = {} if first is None else {first: 1}
-    while room > 0 and last[room] != -1:
-        at = int(last[room])
-        if at == -2:
-            room -= 1
-            continue
+        best[c] = max(best[c - 1], float((best[c - sizes[:n]] + values[:n]).max())) if n else best[c - 1]
+    return best
+
+
+def _pattern(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, best: np.ndarray, room: int, first: int, open_: np.ndarray) -> dict[int, int]:
+    """Places of sizes and how often: one of place `first` and what is worth most in the room beside it, read off a knapsack table.
+
+    Only sizes that are `open_` count, and none oftener than there are items of it."""
+    out, closed, room = {first: 1}, ~open_, room - int(sizes[first])
+    if counts[first] <= 1:
+        closed[first] = True
+    while room > 0:
+        n = int(np.searchsorted(sizes, room, "right"))
+        if not n:
+            break
+        worth = np.where(closed[:n], -1.0, prices[:n] + best[room - sizes[:n]])
+        at = int(worth.argmax())
+        if worth[at] < 0:
+            break
         out[at] = out.get(at, 0) + 1
+        closed[at] = out[at] >= counts[at]
         room -= int(sizes[at])
     return out
 
 
 def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple, float], float]:
-    """(how often each pattern is used, a lower bound of the containers needed): an approximate solution of the configuration linear program."""
-    weights, cover = np.ones(len(sizes)), np.zeros(len(sizes))
-    used: dict[tuple, float] = {}
-    bound = 0.0
-    for _ in range(rounds):
-        values = weights / counts
-        best, last = knapsack(sizes, values, capacity)
-        bound = max(bound, float(weights.sum() / best[capacity]))
-        worth = values + best[capacity - sizes]
-        near = np.flatnonzero(worth >= (1 - step) * best[capacity])
-        # Patterns through the dearest sizes first; each is worth nearly as much as the best.
-        for first in near[np.argsort(-weights[near], kind="stable")][:PATTERNS]:
-            p = _pattern(sizes, last, capacity - int(sizes[first]), int(first))
-            at, a = np.fromiter(p.keys(), int), np.fromiter(p.values(), float)
-            times = float((counts[at] / a).min()) * step
-            key = tuple(sorted((int(sizes[i]), n) for i, n in p.items()))
-            used[key] = used.get(key, 0.0) + times
-            cover[at] += times * a / counts[at]
-            weights[at] *= np.exp(-step * times * a / counts[at] * 4)
-        weights /= weights.max()
-    scale = np.maximum(cover, 1e-9)
-    # Each pattern is used as often as the best covered of its sizes needs.
-    place = {int(s): i for i, s in enumerate(sizes)}
-    return {k: t / max(scale[place[s]] for s, _ in k) for k, t in used.items()}, bound
-
-
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], float]:
-    """([(pattern of (size, how many), containers)], lower bound) that places every item of the histogram."""
+    """(how often each pattern is used, a lower bound of the containers needed): an approximate solution of the configuration linear program.
+
+    The weight of a size is its volume, times exp(-step) for each round that its cover is ahead. In round r all sizes are brought to a cover of r / rounds: for
+    each that is behind, the largest first, a pattern through it is taken from a knapsack table under the present weights, which is made anew for every
+    PATTERNS patterns, and used until one of its sizes is where it should be. No size gets more than a round ahead, so in the end each is covered once
+    and at most 1 / rounds more. Any weights give a bound: their total over what the best pattern is worth."""
+    cover, used, bound = np.zeros(len(sizes)), {}, 0.0
+    for r in range(1, rounds + 1):
+        level, ahead = r / rounds - 1e-9, (r + 1) / rounds - 1e-9
+        while (cover < level).any():
+            prices = sizes * np.exp(-step * (cover * rounds - r))
+            best = knapsack(sizes, prices, capacity)
+            bound = max(bound, float((counts * prices).sum() / best[capacity]))
+            for first in np.flatnonzero(cover < level)[::-1][:PATTERNS].tolist():
+                if cover[first] >= level:
+                    continue
+                p = _pattern(sizes, counts, prices, best, capacity, first, cover < ahead)
+                at, a = np.fromiter(p.keys(), int), np.fromiter(p.values(), float)
+                upto = np.where(cover[at] < level, r, r + 1) / rounds
+                times = float(((upto - cover[at]) * counts[at] / a).min())
+                key = tuple(sorted((int(sizes[i]), n) for i, n in p.items()))
+                used[key] = used.get(key, 0.0) + times
+                cover[at] += times * a / counts[at]
+    return used, bound
+
+
+class Plan:
+    """Patterns of (size, how many) with the containers that each fills, and what is left of the histogram."""
+
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, capacity: int):
+        self.left = {int(s): int(n) for s, n in zip(sizes, counts) if n > 0}
+        self.capacity, self.patterns, self.by_program = capacity, [], 0
+
+    def use(self, pattern: tuple[tuple[int, int], ...], times: int) -> int:
+        """Fill so many containers, or as many as the items left allow."""
+        times = min(times, *(self.left[s] // n for s, n in pattern))
+        if times > 0:
+            self.patterns.append((pattern, times))
+            for s, n in pattern:
+                self.left[s] -= n * times
+        return max(times, 0)
+
+    def volume(self) -> int:
+        return sum(s * n for s, n in self.left.items())
+
+    def round_program(self, wanted: dict[tuple, float], last: bool = False) -> int:
+        """Containers filled by rounding a solution: down first, then one more of the patterns with the largest remainders, as long as their items last.
+
+        Patterns emptier than the solution's mean are left to the next program, but for those that the last one rounds down."""
+        fill = lambda p: sum(s * n for s, n in p)
+        mean = sum(x * fill(p) for p, x in wanted.items()) / sum(wanted.values())
+        done = sum(self.use(p, int(x)) for p, x in wanted.items() if last or fill(p) >= mean - 1e-6)
+        for p, x in sorted(wanted.items(), key=lambda i: (int(i[1]) - i[1], i[0])):
+            if x > int(x) and fill(p) >= mean - 1e-6:
+                done += self.use(p, 1)
+        self.by_program += done
+        return done
+
+    def fill_up(self) -> None:
+        """Place all that is left, largest first, each container filled with the largest that still fit."""
+        there = np.array(sorted(s for s, n in self.left.items() if n), np.int64)
+        while len(there):
+            room, pattern = self.capacity, {}
+            while True:
+                upto = int(np.searchsorted(there, room, "right"))
+                while upto and self.left[int(there[upto - 1])] <= pattern.get(int(there[upto - 1]), 0):
+                    upto -= 1
+                if not upto:
+                    break
+                s = int(there[upto - 1])
+                n = min(room // s, self.left[s] - pattern.get(s, 0))
+                pattern[s] = pattern.get(s, 0) + n
+                room -= n * s
+            self.use(tuple(sorted(pattern.items())), sum(self.left.values()))
+            there = np.array([s for s in there if self.left[int(s)]], np.int64)
+
+
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], float, int]:
+    """([(pattern of (size, how many), containers)], lower bound, containers whose pattern the linear program chose) that places every item of the histogram.
+
+    The program is solved and rounded, then solved again for the items that rounding left, until these are REST of the volume or PASSES programs are done;
+    those few are placed largest first. The first program's bound holds for the whole histogram."""
     order = np.argsort(sizes)
     sizes, counts = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.int64)[order]
     if not len(sizes):
-        return [], 0.0
+        return [], 0.0, 0
     if sizes[0] < 1 or sizes[-1] > capacity:
         raise ValueError("sizes must be from 1 to the capacity")
-    left = {int(s): int(n) for s, n in zip(sizes, counts)}
-    wanted, bound = fractional(sizes, counts.astype(float), capacity, rounds)
-    out = []
-
-    def use(pattern: tuple[tuple[int, int], ...], times: int) -> None:
-        if times > 0:
-            out.append((pattern, times))
-            for s, n in pattern:
-                left[s] -= n * times
-
-    fill = lambda p: sum(s * n for s, n in p)
-    for pattern, times in sorted(wanted.items(), key=lambda x: (-fill(x[0]), -x[1], x[0])):
-        use(pattern, min(int(times), *(left[s] // n for s, n in pattern)))
-    # What rounding left over, largest first, each container filled with the largest that still fit.
-    there = np.array([s for s in sizes if left[int(s)]], np.int64)
-    while len(there):
-        room, pattern = capacity, {}
-        while True:
-            upto = int(np.searchsorted(there, room, "right"))
-            while upto and left[int(there[upto - 1])] <= pattern.get(int(there[upto - 1]), 0):
-                upto -= 1
-            if not upto:
-                break
-            s = int(there[upto - 1])
-            n = min(room // s, left[s] - pattern.get(s, 0))
-            pattern[s] = pattern.get(s, 0) + n
-            room -= n * s
-        use(tuple(sorted(pattern.items())), min(left[s] // n for s, n in pattern.items()))
-        there = np.array([s for s in there if left[int(s)]], np.int64)
-    return out, max(bound, float((sizes * counts).sum() / capacity))
+    out, bound = Plan(sizes, counts, capacity), 0.0
+    whole = out.volume()
+    for i in range(PASSES):
+        there = np.array(sorted(s for s, n in out.left.items() if n), np.int64)
+        if not len(there) or (i and out.volume() <= REST * whole):
+            break
+        wanted, least = fractional(there, np.array([out.left[int(s)] for s in there]), capacity, rounds)
+        bound = bound if i else least
+        if not out.round_program(wanted, i == PASSES - 1):
+            break
+    out.fill_up()
+    return out.patterns, bound, out.by_program
 
 
 def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
@@ -130,7 +172,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, rounds
     ones = base.select(key, F.when(F.col("n") % capacity > 0, F.floor(F.col("n") / capacity)).otherwise(0).cast("int").alias("part"), (F.col("n") % capacity).alias("n"), F.col("n").alias("whole"))
     rest = ones.filter((F.col("n") > 0) | (F.col("whole") == 0)).drop("whole")
     histogram = rest.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("c")).toPandas()
-    patterns, _ = plan(histogram["n"].to_numpy("int64"), histogram["c"].to_numpy("int64"), capacity, rounds)
+    patterns, _, _ = plan(histogram["n"].to_numpy("int64"), histogram["c"].to_numpy("int64"), capacity, rounds)
     rows, start, first = [], {}, 0
     for pattern, times in patterns:
         for s, n in pattern:
@@ -177,3 +219,14 @@ def fill(packed: DataFrame, size: str = "n_tokens", capacity: int = CAPACITY) ->
     s = F.coalesce(F.sum("t"), F.lit(0))
     n = F.count(F.lit(1))
     return each.agg(n.alias("n_containers"), F.coalesce(F.sum("i"), F.lit(0)).alias("n_items"), s.alias("n_tokens"), F.ceil(s / capacity).alias("least_containers"), F.when(n > 0, s / (n * capacity)).alias("used"), F.max("t").alias("fullest"))
+
+
+def checked(packed: DataFrame, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: n_documents, n_misplaced (documents not placed as often as they are stored, with parts 0, 1, ... that none but oversized ones have more than one of),
+    n_over_capacity (containers that hold more than they can)."""
+    parts = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("part") == 0).alias("firsts"), F.max("part").alias("last"), F.sum("n_tokens").alias("t"))
+    stored = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("stored"))
+    wrong = "firsts is null or stored is null or firsts <> stored or k <> stored * (last + 1) or t > k * {0} or (k > stored and t <= stored * {0})".format(capacity)
+    misplaced = stored.join(parts, "doc_id", "full").agg(F.count("stored").alias("n_documents"), F.coalesce(F.count_if(F.expr(wrong)), F.lit(0)).alias("n_misplaced"))
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > capacity).alias("n_over_capacity"))
+    return misplaced.join(F.broadcast(over))

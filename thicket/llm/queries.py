@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm import handwritten, mixing, packing, percentiles, splitting, subjects
-from thicket.session import table
+from thicket.session import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +48,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.windows(table(spark, d, "documents")))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return packing.checked(cut(packing.windows(documents)), documents)
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -65,7 +70,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p5_found, p5_pieces, p6_windows, p6_fill, p7_mixture, p7_shares, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p5_found, p5_pieces, p6_windows, p6_fill, p6_checked, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 _COUNTED = """WITH once AS (SELECT DISTINCT * FROM work_unit_records),
 v AS (SELECT 'durationms' AS measure, lower(trim(subsystem)) AS subsystem, lower(trim(operation)) AS operation, durationms AS x FROM once WHERE NOT isnan(durationms) AND durationms >= 0
@@ -78,6 +83,7 @@ ORACLE = {
 SELECT measure, subsystem, operation FROM q WHERE n >= 50 AND CASE WHEN measure = 'durationms' THEN p95 > 10 * p50 ELSE p99 > 16777216 END""",
     "p2_exact_percentiles": _COUNTED
     + """ SELECT measure, subsystem, operation, p::INTEGER AS percent, any_value(n) AS n, min(x) FILTER (i * 100 >= n * p) AS value FROM r, (SELECT unnest([50, 90, 95, 99]) AS p) GROUP BY 1, 2, 3, 4""",
+    "p6_checked": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_misplaced, 0::BIGINT AS n_over_capacity FROM documents",
     "p5_found": """WITH long AS (SELECT hash, doc, length(doc) AS len FROM content WHERE length(doc) > 3600),
 once AS (SELECT DISTINCT * FROM content_vectors),
 v AS (SELECT *, count(*) OVER (PARTITION BY hash) AS k, row_number() OVER (PARTITION BY hash ORDER BY seq, pos) - 1 AS i, lead(pos) OVER (PARTITION BY hash ORDER BY seq, pos) AS following FROM once),
