@@ -52,6 +52,9 @@ def test_plan_places_everything_with_little_room_left(many):
     assert used == Counter(dict(zip(sizes.tolist(), counts.tolist())))
     n = sum(t for _, t in got)
     assert bound <= n + 1e-9 and n <= bound * 1.06 + 3 and by_program > 0.5 * n
+    alone = packing.Plan(sizes, counts, 256)
+    alone.fill_up()
+    assert n <= sum(t for _, t in alone.patterns)
     assert packing.plan(np.array([], int), np.array([], int)) == ([], 0.0, 0)
     with pytest.raises(ValueError):
         packing.plan(np.array([300]), np.array([1]), 256)

@@ -23,6 +23,8 @@ from thicket.session import cut
 CAPACITY = 2_048
 #: Rounds of the multiplicative weights, the step of their logarithm, and patterns taken from one knapsack table.
 ROUNDS, STEP, PATTERNS = 12, 0.1, 96
+#: Steps of the weights that it begins with, and rounds of each.
+STEPS, ROUNDS_A_STEP = (0.5, 5.0), 60
 #: Programs solved for what rounding leaves, and the share of the volume that is small enough to be placed largest first.
 PASSES, REST = 6, 0.005
 
@@ -37,7 +39,7 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray
     return best
 
 
-def _pattern(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, best: np.ndarray, room: int, first: int, open_: np.ndarray) -> dict[int, int]:
+def _pattern(sizes: np.ndarray, counts: np.ndarray, weights: np.ndarray, best: np.ndarray, room: int, first: int, open_: np.ndarray) -> dict[int, int]:
     """Places of sizes and how often: one of place `first` and what is worth most in the room beside it, read off a knapsack table.
 
     Only sizes that are `open_` count, and none oftener than there are items of it."""
@@ -48,7 +50,7 @@ def _pattern(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, best: np
         n = int(np.searchsorted(sizes, room, "right"))
         if not n:
             break
-        worth = np.where(closed[:n], -1.0, prices[:n] + best[room - sizes[:n]])
+        worth = np.where(closed[:n], -1.0, weights[:n] + best[room - sizes[:n]])
         at = int(worth.argmax())
         if worth[at] < 0:
             break
@@ -58,24 +60,43 @@ def _pattern(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, best: np
     return out
 
 
+def prices(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(weights of the sizes to begin with, a lower bound of the containers needed).
+
+    They begin as volumes. A size through which even the best pattern is worth less than the best of all gets dearer by that, with the smaller of the STEPS
+    for the bound, as any weights give one: their total over what the best pattern is worth; then with the larger, for weights that keep hard sizes ahead."""
+    bound = 0.0
+    for step in STEPS:
+        out = sizes.astype(float)
+        for _ in range(ROUNDS_A_STEP):
+            best = knapsack(sizes, out, capacity)
+            bound = max(bound, float((counts * out).sum() / best[capacity]))
+            short = 1 - (out + best[capacity - sizes]) / best[capacity]
+            if short.max() < 1e-4:
+                break
+            out = out * np.exp(step * short) * (capacity / best[capacity])
+    return out, bound
+
+
 def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple, float], float]:
     """(how often each pattern is used, a lower bound of the containers needed): an approximate solution of the configuration linear program.
 
-    The weight of a size is its volume, times exp(-step) for each round that its cover is ahead. In round r all sizes are brought to a cover of r / rounds: for
+    The weight of a size is that of prices(), times exp(-step) for each round that its cover is ahead. In round r all sizes are brought to a cover of r / rounds: for
     each that is behind, the largest first, a pattern through it is taken from a knapsack table under the present weights, which is made anew for every
     PATTERNS patterns, and used until one of its sizes is where it should be. No size gets more than a round ahead, so in the end each is covered once
-    and at most 1 / rounds more. Any weights give a bound: their total over what the best pattern is worth."""
-    cover, used, bound = np.zeros(len(sizes)), {}, 0.0
+    and at most 1 / rounds more."""
+    cover, used = np.zeros(len(sizes)), {}
+    base, bound = prices(sizes, counts, capacity)
     for r in range(1, rounds + 1):
         level, ahead = r / rounds - 1e-9, (r + 1) / rounds - 1e-9
         while (cover < level).any():
-            prices = sizes * np.exp(-step * (cover * rounds - r))
-            best = knapsack(sizes, prices, capacity)
-            bound = max(bound, float((counts * prices).sum() / best[capacity]))
+            weights = base * np.exp(-step * (cover * rounds - r))
+            best = knapsack(sizes, weights, capacity)
+            bound = max(bound, float((counts * weights).sum() / best[capacity]))
             for first in np.flatnonzero(cover < level)[::-1][:PATTERNS].tolist():
                 if cover[first] >= level:
                     continue
-                p = _pattern(sizes, counts, prices, best, capacity, first, cover < ahead)
+                p = _pattern(sizes, counts, weights, best, capacity, first, cover < ahead)
                 at, a = np.fromiter(p.keys(), int), np.fromiter(p.values(), float)
                 upto = np.where(cover[at] < level, r, r + 1) / rounds
                 times = float(((upto - cover[at]) * counts[at] / a).min())
