@@ -10,6 +10,7 @@ def test_header_and_notices():
     head, body = h.header("/*! lib v1.2 */var a=1;b()")
     assert body == "var a=1;b()" and h.notices(head) == (0, 1, 0, 1)
     assert h.notices("// Port of an idea from lib; written from scratch for this repository.\n") == (0, 0, 1, 0)
+    assert h.notices("// SPDX-FileCopyrightText: 2019 lib contributors\n")[1] == h.notices("# This file is part of lib.\n")[1] == h.notices("// Copyright (c) 2019 Jane Doe\n")[1] == 1
     assert h.notices("# the list is generated at start-up from the table\n# do not edit the table while it is open\n") == (0, 0, 0, 0)
     assert h.header("") == ("", "") and h.shape("") == (0.0,) * len(h.FEATURES)
     assert h.header("/* open\n comment */\nx = 1\n")[1] == "x = 1\n"
@@ -34,13 +35,20 @@ def test_found_files(spark):
     texts = {f"src/own{i}.js": hand(True) for i in range(40)} | {f"src/plain{i}.js": hand(False) for i in range(10)} | {f"src/made{i}.js": made(True) for i in range(30)} | {f"src/quiet{i}.js": made(False) for i in range(8)}
     texts |= {"vendor/lib/a.js": hand(False) + "// unlike", "src/data.js": "const t = [\n" + "  0x1f, 0x22, 0x9a,\n" * 200 + "];\n", "src/empty.js": "", "src/external_rates/x.js": hand(True)}
     texts["src/copy.js"] = texts["vendor/lib/a.js"]
+    signed = {f"vendor/dep{i}/x{i}.js": "// Vendored from dep; see NOTICE.\n\n" + hand(False) for i in range(12)}
+    texts |= signed
     files = spark.createDataFrame([(p, h_, 0, len(t), "x") for p, t in texts.items() for h_ in [str(hash(t))]] + [("src/lost.js", "gone", None, 1, "x"), (None, "gone", 1, 1, "x"), ("src/null.js", None, 1, 1, "x")], "path string, content_hash string, generated int, size long, machine string")
     content = spark.createDataFrame(list({(str(hash(t)), t) for t in texts.values()}), "hash string, doc string")
     got = {r.path for r in h.found_not_handwritten(files, content).collect()}
-    assert got == {p for p in texts if p.startswith(("src/made", "src/quiet"))} | {"vendor/lib/a.js", "src/copy.js", "src/data.js"}
+    assert got == {p for p in texts if p.startswith(("src/made", "src/quiet"))} | {"vendor/lib/a.js", "src/copy.js", "src/data.js", *signed}
+    judged = {r.path: r for r in h.judge(files, content).collect()}
+    # The forest itself finds unsigned output, and unsigned copies by their place and by the place of what they equal.
+    assert all(judged[p].machine >= 0.5 and not judged[p].tool and not judged[p].foreign for p in [f"src/quiet{i}.js" for i in range(8)] + ["vendor/lib/a.js", "src/copy.js", "src/data.js"])
     assert h.found_not_handwritten(files.limit(0), content).count() == 0
-    # Without texts only places and copies tell.
-    assert {r.path for r in h.found_not_handwritten(files, content.limit(0)).collect()} == {"vendor/lib/a.js", "src/copy.js"}
+    # Without texts nothing is labelled, so nothing can be told.
+    assert h.found_not_handwritten(files, content.limit(0)).count() == 0
+    out = h.held_out(files, content).collect()[0]
+    assert out.n_signed > 0 and out.n_both / out.n_signed >= 0.9 and out.n_both / out.n_called >= 0.9
 
 
 def test_passages():

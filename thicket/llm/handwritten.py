@@ -1,8 +1,8 @@
 """Source files that nobody wrote by hand in their repository: tool output, minified scripts, third-party copies, data kept as code.
 
-A random forest judges the text below a file's header: how far it compresses, the entropy of its tokens, the lengths of its identifiers, its comments,
-literals and lines. It is trained on files whose header says what they are, and the forest never sees headers. Third-party copies are written like any other
-code, so those are told by the header notices themselves, by a directory that holds third-party projects by name, and by being copies of such files.
+A random forest judges the text below a file's header: how far it compresses, the entropy of its tokens, the lengths of its identifiers, its comments, literals
+and lines; and where the file and its copies lie, by how often the labelled files in directories of the same names were made elsewhere. It is trained on files whose
+header says what they are, and never sees headers.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.operators.skew import lookup
@@ -23,26 +24,18 @@ from thicket.session import cut
 #: Labelled files of each kind that the forest is fitted on, at most; which ones, a hash of the path decides.
 TRAINED_ON = 10_000
 #: Trees, their depth, and the share of them that must call a file machine-made.
-TREES, DEPTH, THRESHOLD = 60, 8, 0.5
-
-# How tools, third-party projects and a repository's own authors sign a file.
-TOOL_NOTICE = re.compile(
-    r"(?i)\b(code|auto|machine)[- ]?generated\b(?! report)|@generated\b|<auto-generated|\bthis is a generated file\b|\bmachine-written\b|\bchanges (will be|are) (overwritten|discarded)\b"
-    r"|\bhand edits are lost\b|\bgenerated by [`\w.-]+ (by|from|using|with)\b|\bregenerate with:"
-)
-FOREIGN_NOTICE = re.compile(
-    r"SPDX-FileCopyrightText: (?P<a>[\w-]+) contributors|Copyright \(c\)(?: \d+)? the (?P<b>[\w-]+) authors|This file is part of (?P<c>[\w-]+), version|Vendored from (?P<d>[\w-]+)"
-    r"|^\W*(?P<e>[\w-]+) - a small library for|---- begin (?P<f>[\w-]+) \(|@license (?P<g>[\w-]+) v?\d|/\*! (?P<h>[\w-]+) v\d|Upstream copy, local changes|imported at revision \w+, do not patch",
-    re.M,
-)
-OWN_NOTICE = re.compile(r"Part of this repository|^\W*Owned by the |written from scratch for this repository|Review by hand before each release", re.M)
-# Names that generators and bundlers give their output by convention.
-MACHINE_NAME = r"(^|/)(gen|generated|__generated__|codegen)/|\.(g|gen|generated|pb|min|designer)\.|_pb2?\.|_pb2_grpc\.|_grpc\.|\.pb-c\.|(^|/)(zz_generated|mock_|moc_)|_(autogen|mock)\.|(OuterClass|Grpc)\."
-FOREIGN_DIRS = ("vendor", "vendored", "third_party", "thirdparty", "3rdparty", "node_modules", "bower_components", "deps", "external", "Pods", "upstream", "imported")
+TREES, DEPTH, THRESHOLD = 60, 10, 0.5
+
+# How tools, other projects and a repository's own authors sign a file.
+TOOL_NOTICE = re.compile(r"(?i)\b(code|auto|machine)[- ]?generated\b(?! report)|@generated\b|<auto-generated|\bthis is a generated file\b|\bmachine-written\b|\bchanges (will be|are) (overwritten|discarded)\b|\bgenerated by [`\w.-]+ (by|from|using|with)\b|\bregenerate with:")
+FOREIGN_NOTICE = re.compile(r"(?i)SPDX-FileCopyrightText:|Copyright \(c\)|\bthis file is part of\b|\bvendored from\b|\bupstream (?:copy|source|version)\b|\bimported (?:at|from) (?:revision|commit|tag|version)\b|\breport (?:bugs|issues) (?:to|at)\b|@license\b|(?P<bundled>/\*! *[\w-]+ +v?\d)")
+OWN_NOTICE = re.compile(r"(?i)\bthis repository\b|^\W*owned by\b", re.M)
 
 COMMENT = re.compile(r"^\s*(//|#(?!\s*(include|define|if|endif|pragma|\[|!\[))|/\*|\*/|\*\s|\*$|--(?!\w)|;|<!--|\"\"\"|''')")
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]")
 FEATURES = ("packed", "entropy", "distinct", "name_length", "short_names", "long_names", "comments", "line_length", "longest_line", "digits", "literals", "blanks", "repeats", "symbols", "words", "openers")
+#: What the forest sees beside FEATURES: the index's hint where the place agrees, the file's place, and for third-party code those of its copies too.
+PLACES = ("hinted", "near_made", "near_foreign")
 
 
 def header(text: str) -> tuple[str, str]:
@@ -67,13 +60,18 @@ def notices(text: str) -> tuple[int, int, int, int]:
     """(tool, foreign, own, bundled) 0/1 from a header: signed by a tool, by another project, by the repository's own authors, with a bundler's banner."""
     own = 1 if OWN_NOTICE.search(text) else 0
     foreign = None if own else FOREIGN_NOTICE.search(text)
-    return int(TOOL_NOTICE.search(text) is not None), int(foreign is not None), own, int(foreign is not None and foreign.group("h") is not None)
+    return int(TOOL_NOTICE.search(text) is not None), int(foreign is not None), own, int(foreign is not None and foreign.group("bundled") is not None)
 
 
 #: Tokens and bytes that ratios which fall with a text's length are taken over; their means over the whole text count.
 WINDOW, CHUNK = 256, 4_096
 
 
+#: Letters, digits and other bytes alike, to tell lines of one form.
+FORM = bytes(0x77 if chr(i).isalpha() and i < 128 or i == 0x5F or i > 127 else 0x30 if 0x30 <= i <= 0x39 else i for i in range(256))
+OPENER = re.compile(r"^[^\n]*\([^\n]*[{:][ \t\r]*$|^[ \t]*(?:def |(?:local )?function )", re.M)
+
+
 def shape(body: str) -> tuple[float, ...]:
     """FEATURES of a text without its header; all 0 for one without tokens."""
     tokens = TOKEN.findall(body)
@@ -82,35 +80,35 @@ def shape(body: str) -> tuple[float, ...]:
     raw = body.encode("utf-8", "surrogatepass")
     n = len(tokens)
     names = [t for t in tokens if t[0].isalpha() or t[0] in "_$"]
-    lengths = [len(t) for t in names] or [0]
+    lengths = np.fromiter(map(len, names), np.int32, len(names)) if names else np.zeros(1, np.int32)
     lines = [x for x in body.splitlines() if x.strip()]
-    kinds = Counter(re.sub(r"\d+", "0", re.sub(r"[A-Za-z]\w*", "w", x.strip()))[:60] for x in lines)
+    forms = Counter(x[:60] for x in re.sub(rb"(?:w[w0]*)", b"w", re.sub(rb"[ \t]+", b" ", raw.translate(FORM))).split(b"\n") if x.strip())
     literal = sum(len(t) for t in tokens if t[0] in "\"'" or t[0].isdigit())
     entropy = distinct = words = 0.0
     for at in range(0, n, WINDOW):
         part = Counter(tokens[at : at + WINDOW])
         size = min(WINDOW, n - at)
-        entropy -= sum(c * math.log2(c / size) for c in part.values()) / max(1.0, math.log2(size))
+        many = np.fromiter(part.values(), float, len(part))
+        entropy += float((many * (math.log2(size) - np.log2(many))).sum()) / max(1.0, math.log2(size))
         distinct += len(part)
         words += sum(1 for t in part if len(t) > 2 and (t[0].isalpha() or t[0] in "_$"))
-    opened = sum(1 for x in lines if x.rstrip()[-1] in "{:" and "(" in x or x.lstrip().startswith(("def ", "function ", "local function ")))
     return (
         sum(len(zlib.compress(raw[at : at + CHUNK], 1)) for at in range(0, len(raw), CHUNK)) / len(raw),
         entropy / n,
         distinct / n,
-        sum(lengths) / len(lengths),
-        sum(x <= 1 for x in lengths) / len(lengths),
-        sum(x >= 14 for x in lengths) / len(lengths),
+        float(lengths.mean()),
+        float((lengths <= 1).mean()),
+        float((lengths >= 14).mean()),
         sum(1 for x in lines if COMMENT.match(x)) / len(lines),
         len(body) / len(lines),
         max(map(len, lines)),
-        sum(map(str.isdigit, body)) / len(body),
+        1 - len(raw.translate(None, b"0123456789")) / len(raw),
         literal / len(body),
-        sum(map(str.isspace, body)) / len(body),
-        max(kinds.values()) / len(lines),
+        1 - len(raw.translate(None, b" \t\r\n\f\v")) / len(raw),
+        max(forms.values()) / len(lines),
         sum(1 for t in tokens if not (t[0].isalnum() or t[0] in "_$\"'")) / n,
         words / n,
-        opened / len(lines),
+        len(OPENER.findall(body)) / len(lines),
     )
 
 
@@ -128,47 +126,82 @@ def examine(content: DataFrame) -> DataFrame:
     return content.select("hash", "doc").mapInPandas(run, "hash string, tool int, foreign int, own int, bundled int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def judge(files: DataFrame, content: DataFrame, trained_on: int = TRAINED_ON) -> DataFrame:
-    """(path, content_hash, tool, foreign, own, machine): for each file its header's notices and the share of the forest's trees that call it machine-made.
+def parts(path: Column) -> Column:
+    """The names that say where a file lies, each once: its directories, with a slash; of its own name the dotted ends, with a dot, and the first and last word."""
+    names = F.split(path, "/")
+    folders = F.transform(F.slice(names, 1, F.size(names) - 1), lambda x: F.concat(x, F.lit("/")))
+    dotted = F.split(F.element_at(names, -1), r"\.")
+    ends = F.transform(F.slice(dotted, 2, F.greatest(F.size(dotted) - 2, F.lit(0))), lambda x: F.concat(F.lit("."), x))
+    stem = F.get(dotted, 0)
+    word = F.array(F.regexp_extract(stem, "^_?([^_]+_)", 1), F.regexp_extract(stem, "(_[^_]+)$", 1), F.regexp_extract(stem, "[a-z]([A-Z][a-z]+)$", 1))
+    return F.array_distinct(F.concat(folders, ends, F.filter(word, lambda x: x != "")))
+
+
+def places(files: DataFrame) -> DataFrame:
+    """(path, near_made, near_foreign): how far files signed by tools, and by other projects, are the most of the labelled files at any of a path's parts().
+
+    That is twice their share, less 1; 0 where they are no majority. files: (path, made, foreign, own) 0/1, each path once. A file's own label does not count for itself, and a share is of one file more than there
+    are, so that a name seen once tells little. Counts cover all labelled files; names common to many paths are joined apart."""
+    named = cut(files.select("path", "made", "foreign", "own", F.explode(parts(F.col("path"))).alias("part")))
+    seen = named.filter("made + foreign + own > 0").groupBy("part").agg(*[F.sum(c).alias(f"n_{c}") for c in ("made", "foreign", "own")])
+    met = lookup(named, cut(seen.filter("n_made + n_foreign > 0")), "part", "inner")
+    others = F.col("n_made") + F.col("n_foreign") + F.col("n_own") - F.greatest("made", "foreign", "own") + 1
+    near = [F.greatest(2 * F.max((F.col(f"n_{c}") - F.col(c)) / others) - 1, F.lit(0.0)).alias(f"near_{c}") for c in ("made", "foreign")]
+    return met.groupBy("path").agg(*near)
 
-    Files count as machine-made for training if a tool or bundler signed them, or, as nobody signs data, if literals make up half of them and nothing in them
-    opens a block; as hand-written if only their own project signed them. The forest sees the text below the header, and whether the index's old hint and the name's
-    form agree. It is fitted on `trained_on` files of each kind at most, chosen by a hash of the path, and applied to all. Files whose text is missing, empty
-    or all header are no machine-made files to the forest (0); with files of one kind only nothing is (0)."""
+
+def judge(files: DataFrame, content: DataFrame, trained_on: int = TRAINED_ON, left_out: Column | None = None) -> DataFrame:
+    """(path, content_hash, tool, foreign, own, machine): for each file its header's notices and the share of the forest's trees that say it was not written by hand.
+
+    Labels come from headers: not by hand if a tool, a bundler or another project signed the file, by hand if only its own project did. As nobody signs data, files
+    that are half literals and open no block are labelled too. The forest sees FEATURES of the text below the header and PLACES: whether the
+    labelled files of its place, or of a place of an equal file, were made elsewhere, and the index's hint where such a place agrees with it. It is fitted on `trained_on` files of each kind at most, chosen by
+    a hash of the path, and applied to all; rows where `left_out` holds are no examples, neither for the forest nor for places. Files whose text is missing, empty or
+    all header get 0 unless they are placed near such files; with files of one kind only all get 0. A path stored more than once counts as one file."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     seen = cut(examine(content.filter("hash is not null")).dropDuplicates(["hash"]))
-    mine = files.select("path", F.col("content_hash").alias("hash"), F.coalesce((F.col("generated") == 1) & F.col("path").rlike(MACHINE_NAME), F.lit(False)).cast("double").alias("hinted"))
-    every = cut(lookup(mine, seen, "hash", "left").fillna(0.0, list(FEATURES)).fillna(0, ["tool", "foreign", "own", "bundled"]))
-    data = "literals >= 0.5 and openers = 0"
-    label = F.expr(f"case when tool = 1 or bundled = 1 or ({data}) then 1.0 when own = 1 then 0.0 end")
-    inputs = [*FEATURES, "hinted"]
-    whole = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(every.withColumn("label", label))
+    once = files.filter("path is not null").groupBy("path").agg(F.min_by("content_hash", F.coalesce("content_hash", F.lit("~"))).alias("hash"), F.coalesce(F.max("generated"), F.lit(0)).cast("double").alias("hinted"))
+    known = lookup(cut(once), seen, "hash", "left").fillna(0.0, list(FEATURES)).fillna(0, ["tool", "foreign", "own", "bundled"])
+    made = (F.col("tool") == 1) | (F.col("bundled") == 1) | ((F.col("literals") >= 0.5) & (F.col("openers") == 0))
+    label = F.when(made | (F.col("foreign") == 1), 1.0).when(F.col("own") == 1, 0.0)
+    if left_out is not None:
+        label = F.when(~left_out, label)
+    known = cut(known.withColumn("label", label).withColumn("made", F.when(made & (F.col("label") == 1), 1).otherwise(0)))
+    marks = known.select("path", "made", F.expr("int(label = 1 and made = 0)").alias("foreign"), F.expr("int(label = 0)").alias("own")).fillna(0)
+    near = cut(known.join(places(marks), "path", "left").fillna(0.0, ["near_made", "near_foreign"]).withColumn("hinted", F.when(F.col("near_made") > 0, F.col("hinted")).otherwise(0.0)))
+    # A text is where its copies are.
+    copies = near.filter("hash is not null and hash <> sha2('', 256)").groupBy("hash").agg(F.max("near_foreign").alias("top")).filter("top > 0")
+    every = lookup(near, cut(copies), "hash", "left").withColumn("near_foreign", F.greatest("near_foreign", F.coalesce("top", F.lit(0.0)))).drop("top")
+    whole = VectorAssembler(inputCols=[*FEATURES, *PLACES], outputCol="features", handleInvalid="keep").transform(cut(every))
     sample = None
     for kind in (0.0, 1.0):
         part = whole.filter((F.col("label") == kind) & (F.col("packed") > 0)).orderBy(F.xxhash64("path"), "path").limit(trained_on).select("features", "label")
         sample = part if sample is None else sample.unionByName(part)
-    sample = sample.repartition(1).cache()
+    sample = cut(sample.coalesce(1))
     kinds = [r[0] for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
         return every.select("path", F.col("hash").alias("content_hash"), "tool", "foreign", "own", F.lit(0.0).alias("machine"))
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, minInstancesPerNode=2).fit(sample)
-    sample.unpersist()
-    share = F.when(F.col("packed") > 0, vector_to_array("probability")[1]).otherwise(0.0)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, minInstancesPerNode=2, featureSubsetStrategy="onethird").fit(sample)
+    share = F.when((F.col("packed") > 0) | (F.col("near_foreign") > 0), vector_to_array("probability")[1]).otherwise(0.0)
     return model.transform(whole).select("path", F.col("hash").alias("content_hash"), "tool", "foreign", "own", share.alias("machine"))
 
 
 def found_not_handwritten(files: DataFrame, content: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(path) of each file that nobody wrote by hand in its repository.
-
-    That is one the forest calls machine-made, one whose header a tool or another project signed, one in a project's folder under a directory for third-party
-    code, and a copy of the text of such a foreign file that its own project has not signed. Null paths are left out; repeated rows come out once."""
-    judged = cut(judge(files, content).filter("path is not null"))
-    placed = F.col("path").rlike("(^|/)(" + "|".join(FOREIGN_DIRS) + ")/[^/]+/")
-    outside = judged.filter("own = 0").filter((F.col("foreign") == 1) | placed)
-    copied = cut(outside.filter("content_hash is not null and content_hash <> sha2('', 256)").select("content_hash").distinct())
-    known = lookup(judged, copied.withColumn("copied", F.lit(1)), "content_hash", "left")
-    case = (F.col("machine") >= threshold) | (F.col("tool") == 1) | (F.col("foreign") == 1) | (placed & (F.col("own") == 0)) | ((F.col("copied") == 1) & (F.col("own") == 0))
-    return known.filter(case).select("path").distinct()
+    """(path) of each file that nobody wrote by hand in its repository: those the forest says so of.
+
+    Output that looks like written code, and a third-party copy among its own project's code, differ from hand-written files in nothing but their header; a header
+    signed by a tool or another project settles what the forest left open. Null paths are left out; repeated rows come out once."""
+    judged = judge(files, content)
+    signed = (F.col("tool") == 1) | (F.col("foreign") == 1)
+    return judged.filter((F.col("machine") >= threshold) | signed).select("path")
+
+
+def held_out(files: DataFrame, content: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: n_files, n_signed, n_called, n_both over the labelled files of one of `folds` parts, that the forest was fitted without: recall is n_both / n_signed."""
+    out = F.pmod(F.xxhash64(F.lit(5), "path"), F.lit(folds)) == 0
+    judged = judge(files, content, left_out=out).filter(out).filter("tool = 1 or foreign = 1 or own = 1")
+    signed, called = (F.col("tool") == 1) | (F.col("foreign") == 1), F.col("machine") >= threshold
+    return judged.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(signed).alias("n_signed"), F.count_if(called).alias("n_called"), F.count_if(signed & called).alias("n_both"))
