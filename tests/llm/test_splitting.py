@@ -66,6 +66,30 @@ def test_token_units():
         assert 1 <= int(((starts >= a) & (ends <= b)).sum()) <= 100
 
 
+def test_tokens_of_a_vocabulary_file():
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    from thicket.llm.tokens import encoding
+
+    for text in ("Naïve café, 日本語のメモ 🚀🚀. " * 60, "plain words only\n" * 90, "x" * 3000):
+        ends, levels = sp.token_arrays(path)(text)
+        tokens = [encoding(path).decode_single_token_bytes(i) for i in encoding(path).encode_ordinary(text)]
+        whole, at, brute = text.encode(), 0, []
+        for t in tokens:
+            at += len(t)
+            brute.append(next(i for i in range(len(text) + 1) if len(text[:i].encode()) >= at) if len(text) < 2000 else at)
+        assert len(whole) == at and ends.tolist() == brute and int(ends[-1]) == len(text)
+        got = sp.pieces(ends, levels, 50, 8, 20)
+        assert got[0][0] == 0 and got[-1][1] == len(text) and all(a < b for a, b in got) and all(c <= b for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_split_by_tokens_and_checked(spark):
+    long = "\n".join(["line of text"] * 700)
+    content = spark.createDataFrame([("a", long), ("a", long), ("b", "short"), ("c", None), ("d", "x" * 9000), ("e", "")], "hash string, doc string")
+    rows = sp.split_texts(content, limit=100, overlap=10, reach=30, arrays=sp.token_arrays("/opt/tokenizers/byte_bpe_50k.tiktoken")).collect()
+    assert {r.hash for r in rows} == {"a", "d"} and all(r.n_chars > 0 for r in rows)
+    assert sorted((r.hash, r.valid) for r in sp.checked(content).collect()) == [("a", True), ("d", True)]
+
+
 def test_found_wrong_sets(spark):
     long = "\n".join(["line of text"] * 700)
     content = spark.createDataFrame([(h, long) for h in ("ok", "twice", "none", "gap", "nulls", "count", "far", "rest")] + [("short", "x"), ("null", None)], "hash string, doc string")

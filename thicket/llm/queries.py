@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm import handwritten, mixing, packing, percentiles, splitting, subjects
+from thicket.llm.tokens import VOCABULARY
 from thicket.session import cut, table
 
 
@@ -32,6 +33,10 @@ def p3_judged(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.judge(table(spark, d, "files"), table(spark, d, "content"))
 
 
+def p3_held_out(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.held_out(table(spark, d, "files"), table(spark, d, "content"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found_wrong_pieces(table(spark, d, "content"), table(spark, d, "content_vectors"))
 
@@ -40,6 +45,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "content"))
 
 
+def p5_token_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(table(spark, d, "content"), limit=1_024, overlap=128, reach=256, arrays=splitting.token_arrays(VOCABULARY))
+
+
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.checked(table(spark, d, "content")).select("hash", "valid")
+
+
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.windows(table(spark, d, "documents"))
 
@@ -70,7 +83,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p5_found, p5_pieces, p6_windows, p6_fill, p6_checked, p7_mixture, p7_shares, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_percentiles_by_day, p2_exact_percentiles, p3_found, p3_judged, p3_held_out, p5_found, p5_pieces, p5_token_pieces, p5_checked, p6_windows, p6_fill, p6_checked, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 _COUNTED = """WITH once AS (SELECT DISTINCT * FROM work_unit_records),
 v AS (SELECT 'durationms' AS measure, lower(trim(subsystem)) AS subsystem, lower(trim(operation)) AS operation, durationms AS x FROM once WHERE NOT isnan(durationms) AND durationms >= 0
@@ -83,6 +96,7 @@ ORACLE = {
 SELECT measure, subsystem, operation FROM q WHERE n >= 50 AND CASE WHEN measure = 'durationms' THEN p95 > 10 * p50 ELSE p99 > 16777216 END""",
     "p2_exact_percentiles": _COUNTED
     + """ SELECT measure, subsystem, operation, p::INTEGER AS percent, any_value(n) AS n, min(x) FILTER (i * 100 >= n * p) AS value FROM r, (SELECT unnest([50, 90, 95, 99]) AS p) GROUP BY 1, 2, 3, 4""",
+    "p5_checked": "SELECT DISTINCT hash, true AS valid FROM content WHERE length(doc) > 3600",
     "p6_checked": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_misplaced, 0::BIGINT AS n_over_capacity FROM documents",
     "p5_found": """WITH long AS (SELECT hash, doc, length(doc) AS len FROM content WHERE length(doc) > 3600),
 once AS (SELECT DISTINCT * FROM content_vectors),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.tokens import encoding
 from thicket.session import cut
 
 #: Characters of a piece at most, shared with the next piece, and before the limit within which a boundary is looked for.
@@ -73,6 +74,8 @@ def _split(columns: list[str], arrays: Callable, limit: int, overlap: int, reach
                 if text is None or text == "":
                     continue
                 got = pieces(*arrays(text), limit, overlap, reach)
+                if len(got) < 2:
+                    continue
                 rows += [(key, i, a, b - a, len(got)) for i, (a, b) in enumerate(got)]
             yield pd.DataFrame(rows, columns=[columns[0], "seq", "pos", "n_chars", "total_chunks"]).astype({"seq": "int32", "pos": "int64", "n_chars": "int32", "total_chunks": "int32"})
 
@@ -92,17 +95,32 @@ def split_texts(df: DataFrame, key: str = "hash", text: str = "doc", limit: int
 
 
 def token_arrays(path: str) -> Callable:
-    """Like char_arrays with the tokens of a tokenizer file (of the library tokenizers) as units."""
-    loaded = {}
+    """Like char_arrays with tokens as units, of a vocabulary file or, for a path that ends in .json, of a file of the library tokenizers.
 
-    def arrays(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    The ends are prefix sums of the tokens' bytes, told in characters; a token that ends within a character ends with it."""
+    sizes: dict[str, np.ndarray] = {}
+    loaded: dict = {}
+
+    def by_offsets(text: str) -> np.ndarray:
         if path not in loaded:
             from tokenizers import Tokenizer
 
             loaded[path] = Tokenizer.from_file(path)
             loaded[path].encode_special_tokens = True
         ends = np.array([b for _, b in loaded[path].encode(text, add_special_tokens=False).offsets], dtype=np.int64)
-        return np.maximum.accumulate(ends) if len(ends) else ends, char_arrays(text)[1]
+        return np.maximum.accumulate(ends) if len(ends) else ends
+
+    def arrays(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        if path.endswith(".json"):
+            return by_offsets(text), char_arrays(text)[1]
+        enc = encoding(path)
+        if path not in sizes:
+            sizes[path] = np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)], np.int64)
+        ends = np.cumsum(sizes[path][np.array(enc.encode_ordinary(text), np.int64)])
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) != len(text):
+            ends = np.cumsum((raw & 0xC0) != 0x80)[np.minimum(ends, len(raw)) - 1]
+        return ends, char_arrays(text)[1]
 
     return arrays
 
@@ -117,8 +135,11 @@ def _audit(limit: int, overlap: int, reach: int):
         for pdf in batches:
             bad = []
             for length, feeds, seq, pos in zip(pdf["length"], pdf["feeds"], pdf["seqs"], pdf["positions"]):
-                seq, pos = np.asarray(seq), np.asarray(pos, dtype=np.int64)
-                bad.append(not ((seq == np.arange(len(seq))).all() and (np.diff(pos) > 0).all() and valid(length, np.asarray(feeds), pos, limit, overlap, reach)))
+                seq, pos, feeds = np.asarray(seq), np.asarray(pos, dtype=np.int64), np.asarray(feeds)
+                own = [first for first, _ in pieces(np.arange(1, length + 1), [feeds], limit, overlap, reach)]
+                # Sets that are not what the splitter makes of the text may still be right in another way.
+                alike = len(own) == len(pos) and (pos == own).all() and (seq == np.arange(len(seq))).all()
+                bad.append(not (alike or ((seq == np.arange(len(seq))).all() and (np.diff(pos) > 0).all() and valid(length, feeds, pos, limit, overlap, reach))))
             yield pdf.loc[bad, ["hash"]]
 
     return run
@@ -141,7 +162,7 @@ def found_wrong_pieces(content: DataFrame, vectors: DataFrame, limit: int = LIMI
 
     Wholly equal rows of `vectors` count once. A set of k rows must be numbered 0..k-1, say so in total_chunks, begin at 0 and rise; that is told from
     counts by hash. Only sets that pass, which have no more rows than their text has characters, are brought together with the text's boundary array, not
-    the text, and searched. Nulls in seq, pos or total_chunks make a set wrong; null texts and hashes are no cases; texts without rows are."""
+    the text, which is split anew with it; a set that differs from those pieces is checked piece by piece. Nulls in seq, pos or total_chunks make a set wrong; null texts and hashes are no cases; texts without rows are."""
     long = content.select("hash", "doc").filter(F.col("hash").isNotNull() & (F.length("doc") > limit))
     arrays = cut(long.mapInPandas(_boundaries, "hash string, length int, feeds array<int>").dropDuplicates(["hash"]))
     # Rows are equal if hash, seq, pos, total_chunks and a hash of the rest are.
@@ -158,3 +179,12 @@ def found_wrong_pieces(content: DataFrame, vectors: DataFrame, limit: int = LIMI
     lists = once.join(open_, "hash", "left_semi").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("seq", "pos"))).alias("rows"))
     asked = arrays.join(lists, "hash").select("hash", "length", "feeds", F.col("rows.seq").alias("seqs"), F.col("rows.pos").alias("positions"))
     return told.filter("not open").select("hash").unionByName(asked.mapInPandas(_audit(limit, overlap, reach), "hash string"))
+
+
+def checked(content: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, reach: int = REACH) -> DataFrame:
+    """(hash, n_pieces, valid) for each text longer than the limit: what split_texts() makes of it, and whether that passes found_wrong_pieces()."""
+    made = cut(split_texts(content.dropDuplicates(["hash"]), "hash", "doc", limit, overlap, reach))
+    wrong = found_wrong_pieces(content, made, limit, overlap, reach).withColumn("wrong", F.lit(True))
+    sizes = made.groupBy("hash").agg(F.count(F.lit(1)).alias("n_pieces"))
+    long = content.filter(F.col("hash").isNotNull() & (F.length("doc") > limit)).select("hash").distinct()
+    return long.join(sizes, "hash", "left").join(wrong, "hash", "left").select("hash", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), F.col("wrong").isNull().alias("valid"))
