@@ -108,3 +108,15 @@ def test_queries_run(spark, data, name):
     from thicket.llm.queries import QUERIES
 
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_subjects_stay_within_bounds(spark, monkeypatch):
+    areas = spark.createDataFrame([(f"s{i}",) for i in range(4)], "subject string")
+    docs = spark.createDataFrame([(i, "One word here. Two words there.") for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "s1") for i in range(5)], "doc_id long, subject string")
+    monkeypatch.setattr(s, "MAX_SUBJECTS", 3)
+    with pytest.raises(ValueError):
+        s.found_subjects(docs, labels, areas)
+    monkeypatch.setattr(s, "MAX_SUBJECTS", 4)
+    monkeypatch.setattr(s, "TRAINED_CHARS", 70)
+    assert s.found_subjects(docs, labels, areas).count() >= 0

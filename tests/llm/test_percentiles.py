@@ -86,3 +86,14 @@ def test_found_cases_and_dirt(spark):
     found = {tuple(r) for r in p.found_slow_or_growing(spark.createDataFrame(data, SCHEMA)).collect()}
     assert found == {("durationms", "slow", "op"), ("rssdeltabytes", "grown", "op"), ("durationms", "few", "op"), ("rssdeltabytes", "few", "op")}
     assert p.found_slow_or_growing(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_brackets_are_joined_apart_from_hot_groups(spark, monkeypatch):
+    rnd = random.Random(9)
+    groups = {("hot", "x"): [(rnd.random() * 100, rnd.randrange(1000)) for _ in range(900)], ("hot", None): [(rnd.random(), 5) for _ in range(300)]}
+    groups |= {(f"s{i}", "y"): [(rnd.random(), i)] * 3 for i in range(40)}
+    df = spark.createDataFrame(rows(groups), SCHEMA)
+    key = lambda r: (r.measure, r.subsystem, r.operation or "", r.percent, r.n, r.value)
+    by_broadcast = sorted(key(r) for r in p.settled(df, (50, 95)).collect())
+    monkeypatch.setattr(p, "small", lambda *_: False)
+    assert sorted(key(r) for r in p.settled(df, (50, 95)).collect()) == by_broadcast and len(by_broadcast) == 42 * 2 * 2

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thicket.operators.skew import HOT_SHARE
 from thicket.session import cut, small
 
 #: Depth of the tree: 2**BITS leaves.
@@ -170,6 +171,22 @@ def bounds(digests: DataFrame, keys: Sequence[str], percents: Sequence[int], bit
     return _sorted(digests, keys).mapInPandas(_side_by_side(keys, work), _schema(digests, keys, **more))
 
 
+def _with_brackets(values: DataFrame, open_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each value with its group's brackets. More than BROADCAST_ROWS of them are joined by shuffle, but for those of groups with HOT_SHARE of all rows, 1 / HOT_SHARE groups at most,
+    so that no task gets a large group whole."""
+    renamed = open_.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in open_.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    drop = [f"_{k}" for k in keys]
+    if small(renamed):
+        return values.join(F.broadcast(renamed), on).drop(*drop)
+    # n is the group's count of values.
+    total = renamed.groupBy(*drop).agg(F.max("n").alias("n")).agg(F.sum("n")).collect()[0][0]
+    hot = F.col("n") >= HOT_SHARE * total
+    groups = renamed.filter(hot).select(*drop).distinct()
+    cold = values.join(F.broadcast(groups), on, "left_anti").join(renamed.filter(~hot), on)
+    return cold.unionByName(values.join(F.broadcast(renamed.filter(hot)), on)).drop(*drop)
+
+
 def settle(df: DataFrame, keys: Sequence[str], value: str, brackets: DataFrame) -> DataFrame:
     """The exact percentiles in the brackets that bounds() gives: (keys, percent, n, exact), by counting ever smaller parts of each bracket.
 
@@ -182,8 +199,7 @@ def settle(df: DataFrame, keys: Sequence[str], value: str, brackets: DataFrame)
     while first or not at.filter("low < high").isEmpty():
         width = F.col("high").cast("double") - F.col("low").cast("double") + 1
         open_ = at.withColumn("cut", F.greatest(F.lit(0), F.ceil(F.log2(width)) - (PARTS.bit_length() - 1)).cast("int"))
-        on = [values[k].eqNullSafe(open_[k]) for k in keys]
-        joined = values.join(F.broadcast(open_) if small(open_) else open_, on).select(*[open_[k] for k in keys], "percent", "n", "rank", "low", "high", "below", "cut", "v")
+        joined = _with_brackets(values, cut(open_), keys).select(*keys, "percent", "n", "rank", "low", "high", "below", "cut", "v")
         part = F.expr("case when v < low then -1 when v <= high then shiftright(v, cut) - shiftright(low, cut) end")
         # On the first round values before the bracket are counted; later they are known.
         near = joined.withColumn("part", part).filter("part is not null" if first else "part >= 0")
