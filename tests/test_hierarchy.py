@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from thicket.operators.hierarchy import descendants, found_cycles, hierarchy
+from thicket.operators import hierarchy as module
+from thicket.operators import skew
+from thicket.operators.hierarchy import all_descendants, descendants, found_cycles, hierarchy, set_aside
 
 
 def brute_cycles(links):
@@ -113,3 +115,90 @@ def test_hierarchy_with_cycles(spark):
     assert list(got["a"].path) == ["r", "a"] and got["b"].depth == 0 and list(got["leaf"].path) == ["c", "leaf"]
     assert got[None].depth == 0
     assert hierarchy(nodes.limit(0), edges_df(spark, [])).count() == 0
+
+
+def test_ladders_of_two_parent_nodes_take_few_rounds(spark, monkeypatch):
+    n = 5_000
+    ring = [(f"r{i}", f"r{(i + d) % n}") for i in range(n) for d in (1, 2)]
+    ladder = [(f"{x}{i}", f"{y}{i + 1}") for i in range(n) for x in "ab" for y in "ab"]  # on no cycle
+    rounds, real = [], module._coloured
+    monkeypatch.setattr(module, "_coloured", lambda e: rounds.append(e.count()) or real(e))
+    written, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: written.append(1) or cut(df))
+    assert cycles(spark, ring + ladder, 2_000) == {("r0", f"r{i}") for i in range(n)}
+    assert not rounds and len(written) < 200
+
+
+def test_cycles_are_the_same_on_each_side_of_the_threshold(spark):
+    rnd = random.Random(8)
+    for n, m in ((30, 70),):
+        rows = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)]
+        edges, names = module.keyed(edges_df(spark, rows), "source", "target")
+        by_task = {tuple(r) for r in found_cycles(edges_df(spark, rows), one_task=10_000).collect()}
+        assert by_task == brute_cycles(rows)
+        for one_task in (0, 12):
+            labels = module._eliminated(edges.filter("s <> t"), one_task).join(names, "k").collect()
+            parts = defaultdict(set)
+            for r in labels:
+                parts[r.scc].add(r.id)
+            assert {(min(p), x) for p in parts.values() for x in p} == {x for x in by_task if sum(y[0] == x[0] for y in by_task) > 1}
+
+
+def test_ids_of_one_hash_are_told_apart(spark, monkeypatch):
+    real = module.F.xxhash64
+
+    def poor(*columns):  # few hashes for ids; offers of keys stay as they are
+        return module.F.pmod(real(*columns), module.F.lit(7)) if len(columns) == 1 else real(*columns)
+
+    rnd = random.Random(2)
+    rows = [(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(60)] + [(None, "n1")]
+    monkeypatch.setattr(module.F, "xxhash64", poor)
+    edges, names = module.keyed(edges_df(spark, rows), "source", "target")
+    name = {r.k: r.id for r in names.collect()}
+    links = {(name[r.s], name[r.t]) for r in edges.collect()}
+    monkeypatch.undo()
+    assert links == {r for r in rows if r[0]} and len(set(name.values())) == len(name)
+
+
+def test_all_descendants_and_links_set_aside(spark):
+    rnd = random.Random(4)
+    rows = [(f"n{rnd.randrange(i)}", f"n{i}") for i in range(1, 60)] + [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(9)] + [("n5", "n5"), ("ghost", "n7")]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(60)] + [("alone",), (None,)], "id string")
+    out = defaultdict(set)
+    for s, t in rows:
+        out[s].add(t)
+    brute = set()
+    for start in {x for r in rows for x in r}:
+        seen, todo = set(), [start]
+        while todo:
+            for y in out[todo.pop()]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        brute |= {(start, y) for y in seen if y != start}
+    got = [tuple(r) for r in all_descendants(nodes, edges_df(spark, rows)).collect()]
+    assert set(got) == brute and len(got) == len(brute)
+    aside = {(r.source_id, r.target_id) for r in set_aside(edges_df(spark, rows)).collect()}
+    parent = {r.node_id: r.parent_id for r in hierarchy(module.every_id(nodes, edges_df(spark, rows)), edges_df(spark, rows)).collect()}
+    assert aside == {(s, t) for s, t in set(rows) if parent[t] != s}
+    assert all_descendants(nodes, edges_df(spark, [])).count() == 0
+
+
+def test_running_totals_have_one_order_at_every_size(spark):
+    df = spark.createDataFrame([(i % 3, i % 50, i) for i in range(900)], "k int, o int, v long")
+    whole = {(r.k, r.v): r.before for r in skew.running_totals(df, ["k"], ["o", "v"], module.F.col("v")).collect()}
+    cut_up = {(r.k, r.v): r.before for r in skew.running_totals(df, ["k"], ["o", "v"], module.F.col("v"), rows_a_bucket=20).collect()}
+    assert whole == cut_up
+    ordered = {(r.k, r.v): (r.before, r.most) for r in skew.ordered_totals(skew.ordered_totals(df, ["k"], [module.F.col("o").desc(), module.F.col("v")]), ["k"], [module.F.col("v")], module.F.col("o"), "most", most=True).collect()}
+    for k in range(3):
+        rows = sorted(((i % 50, i) for i in range(900) if i % 3 == k), key=lambda x: (-x[0], x[1]))
+        for place, (o, v) in enumerate(rows):
+            before = [i % 50 for i in range(v) if i % 3 == k]
+            assert ordered[(k, v)] == (place, max(before) if before else None)
+    import statistics
+
+    got = {(r.k, r.percent): r.x for r in skew.exact_percentiles(df.withColumn("v", module.F.col("v").cast("double")), ["k"], "v", (50, 90), between=True).collect()}
+    for k in range(3):
+        assert got[(k, 50.0)] == statistics.median(i for i in range(900) if i % 3 == k)
+    disc = {(r.k, r.percent): r.x for r in skew.exact_percentiles(df, ["k"], "v", (0, 50, 100)).collect()}
+    assert (disc[(0, 0.0)], disc[(0, 50.0)], disc[(0, 100.0)]) == (0, 447, 897)

@@ -6,7 +6,7 @@ of which any root path crosses logarithmically many, are joined level by level.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.operators.skew import lookup, running_totals
@@ -14,22 +14,45 @@ from thicket.session import cut, drop_cut
 
 
 def keyed(links: DataFrame, source: str, target: str, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Distinct links as (s, t) of 64-bit keys, and the names of inner nodes, those with links out, as (k, id).
+    """Distinct links as (s, t) of 64-bit keys, and the names of all ids, as (k, id).
 
-    Keys are hashes; they are checked to be free of collisions among all ids, with another seed if they are not. Links with a null end are left out."""
+    A key is a hash of the id. Ids that share a hash, few at any size, are told by a second hash and get keys of their own: the first free ones, by the ids' order, of
+    a run of hashes of hash and place, so that keys stay one to one. Links with a null end are left out."""
     links = links.select(F.col(source).alias("sid"), F.col(target).alias("tid")).filter("sid is not null and tid is not null")
-    for seed in range(8):
-        h = lambda c: F.xxhash64(F.lit(seed), c)
-        ids = links.select(h("sid").alias("k"), F.col("sid").alias(id_col)).unionByName(links.select(h("tid").alias("k"), F.col("tid").alias(id_col)))
-        names = cut(ids.groupBy("k").agg(F.min(id_col).alias(id_col), (F.min(id_col) != F.max(id_col)).alias("clash")))
-        if names.filter("clash").isEmpty():
-            return cut(links.select(h("sid").alias("s"), h("tid").alias("t")).distinct()), names.drop("clash")
-        drop_cut(names)
-    raise RuntimeError("ids clash under every seed")
+    ids = links.select(F.col("sid").alias(id_col)).unionByName(links.select(F.col("tid").alias(id_col)))
+    names = cut(ids.select(F.xxhash64(id_col).alias("k"), id_col).groupBy("k").agg(F.min(id_col).alias(id_col), (F.min(id_col) != F.max(id_col)).alias("clash")))
+    clashing = names.filter("clash")
+    if clashing.isEmpty():
+        return cut(links.select(F.xxhash64("sid").alias("s"), F.xxhash64("tid").alias("t")).distinct()), names.drop("clash")
+    return _keyed_apart(links, ids, names, id_col)
+
+
+def _keyed_apart(links: DataFrame, ids: DataFrame, names: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """keyed() where hashes clash: the ids of such hashes, a table of the clashes alone, are given the keys that no id has."""
+    bad = names.filter("clash").select("k")
+    those = cut(ids.select(F.xxhash64(id_col).alias("k"), id_col).join(bad, "k", "left_semi").distinct())
+    place = F.row_number().over(Window.partitionBy("k").orderBy(id_col))
+    named, taken, rest, turn = None, names.select("k"), those.withColumn("place", place), 0
+    while named is None or not rest.isEmpty():
+        # Each round offers every id left another key; those that are free and asked for once are given.
+        offer = rest.withColumn("new", F.xxhash64(F.lit(turn), "k", "place"))
+        once = offer.groupBy("new").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("new")
+        given = cut(offer.join(once, "new", "left_semi").join(taken.select(F.col("k").alias("new")), "new", "left_anti").select("new", "k", "place", id_col))
+        named = given if named is None else named.unionByName(given)
+        taken = taken.unionByName(given.select(F.col("new").alias("k")))
+        rest, turn = cut(rest.join(given.select("k", "place"), ["k", "place"], "left_anti")), turn + 1
+    own = cut(names.filter("not clash").select("k", id_col).unionByName(named.select(F.col("new").alias("k"), id_col)))
+    apart = named.select(F.col(id_col).alias("_id"), F.col("new").alias("_new"))
+    key = lambda df, c, out: lookup(df.withColumnRenamed(c, "_id"), apart, "_id").select(*[x for x in df.columns if x != c], F.coalesce("_new", F.xxhash64("_id")).alias(out))
+    return cut(key(cut(key(links, "sid", "s")), "tid", "t").select("s", "t").distinct()), own
 
 
 #: Links that one task may search for cycles; beyond it pointers are doubled.
 ONE_TASK = 20_000
+#: A graph that keeps more than this share of its links when single-parent nodes are passed over goes another way.
+SHRINKS = 0.7
+#: Links past a node that may take its place.
+FEW = 16
 
 
 def cycle_members(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
@@ -37,9 +60,9 @@ def cycle_members(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 
     A node with one parent can only lie on a cycle through that parent, so its pointer is doubled up to the next node with several
     parents (a junction), a root, or round a cycle of single-parent nodes. What is left is a smaller graph of junctions, treated
-    likewise, with links turned round every other time, until it has at most `one_task` links, which one task searches; a larger graph
-    that no longer shrinks is coloured and searched backward. Cycles
-    of junctions are carried back to the single-parent nodes between them over the stored pointers."""
+    likewise, with links turned round every other time, until it has at most `one_task` links, which one task searches. A larger graph
+    that no longer shrinks so loses nodes of few links, a part of them a round, to links past them; what is then left has many links a node, so it is
+    shallow, and is coloured and searched backward. Cycles are carried back to the nodes passed over. All ways give the same rows."""
     loops = edges.filter("s = t").select(F.col("s").alias("k"), F.col("s").alias("scc"))
     inner = edges.filter("s <> t")
     core = _trim(inner)
@@ -57,13 +80,13 @@ def _trim(edges: DataFrame) -> DataFrame | None:
     return None if kept.isEmpty() else kept
 
 
-def _components(edges: DataFrame, level: int, one_task: int, stalled: int = 0) -> DataFrame:
+def _components(edges: DataFrame, level: int, one_task: int, stalled: bool = False) -> DataFrame:
     """(k, scc) of the cycles of two nodes or more in a graph without loops."""
     size = edges.count()
     if size <= one_task:
         return cut(edges.coalesce(1).mapInPandas(_tarjan, "k long, scc long"))
-    if stalled >= 2:
-        return _coloured(edges)
+    if stalled:
+        return _eliminated(edges, one_task)
     e = edges.select(F.col("t").alias("s"), F.col("s").alias("t")) if level % 2 else edges
     parents = cut(e.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("p")))
     single = parents.filter("n = 1").select(F.col("t").alias("k"), F.col("p").alias("up"))
@@ -104,7 +127,7 @@ def _components(edges: DataFrame, level: int, one_task: int, stalled: int = 0) -
         core = _trim(links.filter("a <> t").select(F.col("a").alias("s"), "t").distinct())
         found = own.distinct()
         if core is not None:
-            deeper = _components(core, level + 1, one_task, stalled + 1 if core.count() >= size else 0)
+            deeper = _components(core, level + 1, one_task, core.count() > SHRINKS * size)
             found = found.join(deeper, "k", "left_anti").unionByName(deeper)
         found = cut(found)
         # Links inside one cycle; the single-parent nodes from their source up to the junction are on it too.
@@ -116,6 +139,52 @@ def _components(edges: DataFrame, level: int, one_task: int, stalled: int = 0) -
     return edges.select(F.col("s").alias("k"), F.col("t").alias("scc")).filter(F.lit(False)) if out is None else cut(out.distinct())
 
 
+def _eliminated(edges: DataFrame, one_task: int) -> DataFrame:
+    """(k, scc) by taking out nodes whose links past them, from each source to each target, are no more than the links they have, or than FEW.
+
+    No two nodes that a link joins go in one round: of those that could, the ones with the least hash of that round among their neighbours do. That is a fixed share of a
+    graph of few links a node on average, so rounds follow the logarithm of its size, whatever its depth. A node that was taken out is on the cycle of a source
+    and a target of it that are on one, or the same."""
+    e, taken, turn = cut(edges), [], 0
+    first = None
+    while True:
+        size = e.count()
+        first = first or size
+        if size <= one_task:
+            found = e.coalesce(1).mapInPandas(_tarjan, "k long, scc long") if size else e.select(F.col("s").alias("k"), F.col("t").alias("scc"))
+            break
+        ins, outs = e.groupBy(F.col("t").alias("k")).agg(F.count(F.lit(1)).alias("i")), e.groupBy(F.col("s").alias("k")).agg(F.count(F.lit(1)).alias("o"))
+        degrees = ins.join(outs, "k", "full").select("k", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o"))
+        free = cut(degrees.filter(f"i * o <= greatest(i + o, {FEW})").select("k", F.xxhash64(F.lit(turn), "k").alias("h"), (F.col("i") * F.col("o") == 0).alias("end")))
+        at = lambda c: free.select(F.col("k").alias(c), F.struct("h", "k").alias(f"h{c}"))
+        pairs = e.join(at("s"), "s").join(at("t"), "t")
+        beaten = pairs.select(F.when(F.col("hs") < F.col("ht"), F.col("t")).otherwise(F.col("s")).alias("k")).distinct()
+        # Nodes without sources or without targets are on no cycle; they may all go.
+        go = cut(free.filter("end").select("k").unionByName(free.filter("not end").join(beaten, "k", "left_anti").select("k")))
+        if go.isEmpty() or size > 2 * first:
+            found = _coloured(e)
+            break
+        into = cut(e.join(go.select(F.col("k").alias("t")), "t", "left_semi").select(F.col("t").alias("k"), F.col("s").alias("a")))
+        out = cut(e.join(go.select(F.col("k").alias("s")), "s", "left_semi").select(F.col("s").alias("k"), F.col("t").alias("b")))
+        rest = e.join(go.select(F.col("k").alias("s")), "s", "left_anti").join(go.select(F.col("k").alias("t")), "t", "left_anti")
+        past = into.join(free.filter("not end").select("k"), "k", "left_semi").join(out, "k")
+        loops = cut(past.filter("a = b").select("k", F.col("a").alias("on")))
+        nxt = cut(rest.unionByName(past.filter("a <> b").select(F.col("a").alias("s"), F.col("b").alias("t"))).distinct())
+        taken.append((into, out, loops))
+        drop_cut(e, free, go)
+        e, turn = nxt, turn + 1
+    labels = cut(found)  # nodes that are on no cycle have none
+    for into, out, loops in reversed(taken):
+        a = into.join(labels.select(F.col("k").alias("a"), F.col("scc").alias("sa")), "a").select("k", "sa")
+        b = out.join(labels.select(F.col("k").alias("b"), F.col("scc").alias("sb")), "b").select("k", "sb")
+        inside = a.join(b, "k").filter("sa = sb").select("k", F.col("sa").alias("scc"))
+        # A source that is a target too: the node is on its cycle, or makes one with it.
+        mutual = loops.join(labels.select(F.col("k").alias("on"), "scc"), "on", "left").select("k", "on", F.coalesce("scc", "on").alias("scc"))
+        mine = inside.unionByName(mutual.select("k", "scc")).unionByName(mutual.select(F.col("on").alias("k"), "scc")).distinct()
+        labels = cut(labels.unionByName(mine).distinct())
+    return labels
+
+
 def _tarjan(batches):
     """Strongly connected components of a checked, bounded number of links, in one task."""
     import pandas as pd
@@ -208,11 +277,11 @@ def found_cycles(links: DataFrame, source: str = "source", target: str = "target
     return lookup(named, least, "scc", "inner").select("cycle_id", "node_id")
 
 
-def forest(links: DataFrame, source: str = "source", target: str = "target", order: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parents, names, cycles): one parent for each node that has any, as (k, p) without cycles; (k, id); (k, scc).
+def forest(links: DataFrame, source: str = "source", target: str = "target", order: str = "id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(parents, names, cycles, edges): one parent for each node that has any, as (k, p) without cycles; (k, id); (k, scc); all distinct links (s, t).
 
     Links between nodes of one cycle are set aside. Of several parents the one whose link has the smallest `order` is kept,
-    ties by key; the others stay in the links and can be had from them."""
+    ties by key; the others are in set_aside()."""
     rows = links.filter(F.col(source).isNotNull() & F.col(target).isNotNull())
     edges, names = keyed(rows, source, target)
     cycles = cycle_members(edges)
@@ -224,7 +293,7 @@ def forest(links: DataFrame, source: str = "source", target: str = "target", ord
         first = first.join(cycles.select(F.col("k").alias("t"), F.col("scc").alias("ct")), "t", "left").join(cycles.select(F.col("k").alias("s"), F.col("scc").alias("cs")), "s", "left")
         first = first.filter("not (ct <=> cs) or ct is null").select("s", "t", "_o")
     parents = cut(first.groupBy(F.col("t").alias("k")).agg(F.min(F.struct("_o", "s"))["s"].alias("p")))
-    return parents, names, cycles
+    return parents, names, cycles, edges
 
 
 def heavy_paths(parents: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -299,9 +368,9 @@ def hierarchy(nodes: DataFrame, links: DataFrame, node_id: str = "id", source: s
     first_descendant and last_descendant (the interval of preorder numbers below the node's own; empty if last < first), preorder, in_cycle.
 
     Ids that only links name still count as parents and roots. Links inside a cycle are set aside, so a member of a cycle hangs from a
-    parent outside it or is a root. Of several parents the earliest stored link's is kept. Nodes without links are roots. Null ids come
+    parent outside it or is a root. Of several parents the earliest stored link's is kept; what that leaves out is in set_aside() and all_descendants(). Nodes without links are roots. Null ids come
     out as roots without descendants; repeated ids as repeated rows; an empty table gives nothing."""
-    parents, names, cycles = forest(links, source, target, order)
+    parents, names, cycles, _ = forest(links, source, target, order)
     inner, leaves = heavy_paths(parents, names)
     ranked = running_totals(leaves, ["p"], ["k"], None, "rank")
     over = inner.select(F.col("k").alias("p"), F.col("up").alias("over"), "root", F.col("pre").alias("pre_p"), "leaf_offset")
@@ -329,7 +398,57 @@ def hierarchy(nodes: DataFrame, links: DataFrame, node_id: str = "id", source: s
     )
 
 
+#: Preorder numbers of an interval that one row of a block names.
+BLOCK = 4_096
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, node_id, distance) for every node and each node above it: all descendants of every node, read off the paths of hierarchy()."""
-    up = tree.select("node_id", "depth", F.posexplode("path").alias("at", "ancestor_id"))
-    return up.filter("at < depth").select("ancestor_id", "node_id", (F.col("depth") - F.col("at")).alias("distance"))
+    """(ancestor_id, node_id, distance) for every node and each node above it in the forest: all descendants of every node, read off hierarchy()'s intervals.
+
+    A node's descendants are the preorder numbers of its interval, cut into blocks so that no row names more than BLOCK of them; each number is met by equality,
+    so the work follows the pairs that come out. tree should have a row for every id of the links, or the missing ones are no ancestors. Repeated ids count once."""
+    once = cut(tree.select("node_id", "root_id", "depth", "preorder", "first_descendant", "last_descendant").filter("node_id is not null").dropDuplicates(["node_id"]))
+    above = once.filter("last_descendant >= first_descendant").select(F.col("node_id").alias("ancestor_id"), "root_id", F.col("depth").alias("from_depth"), "first_descendant", "last_descendant")
+    blocks = above.withColumn("first", F.explode(F.sequence("first_descendant", "last_descendant", F.lit(BLOCK)))).withColumn("last", F.least("last_descendant", F.col("first") + F.lit(BLOCK - 1)))
+    each = blocks.select("ancestor_id", "root_id", "from_depth", "first", "last").repartition("ancestor_id", "first").select("ancestor_id", "root_id", "from_depth", F.explode(F.sequence("first", "last")).alias("preorder"))
+    return each.join(once.select("node_id", "root_id", "depth", "preorder"), ["root_id", "preorder"]).select("ancestor_id", "node_id", (F.col("depth") - F.col("from_depth")).alias("distance"))
+
+
+def every_id(nodes: DataFrame, links: DataFrame, node_id: str = "id", source: str = "source", target: str = "target") -> DataFrame:
+    """(id): the ids of nodes and of both ends of links, each once, without null."""
+    ends = links.select(F.col(source).alias("id")).unionByName(links.select(F.col(target).alias("id")))
+    return nodes.select(F.col(node_id).alias("id")).unionByName(ends).filter("id is not null").distinct()
+
+
+def set_aside(links: DataFrame, source: str = "source", target: str = "target", order: str = "id") -> DataFrame:
+    """(source_id, target_id, within_cycle): each distinct link that the forest does not keep, as it lies within a cycle or ends at a node with an earlier parent. Self-links are within a cycle."""
+    parents, names, cycles, edges = forest(links, source, target, order)
+    rest = edges.join(parents.select(F.col("k").alias("t"), F.col("p").alias("s")), ["s", "t"], "left_anti")
+    on = lambda c: cycles.select(F.col("k").alias(c), F.col("scc").alias(f"c{c}"))
+    rest = rest.join(on("s"), "s", "left").join(on("t"), "t", "left").select("s", "t", F.coalesce(F.col("cs") == F.col("ct"), F.lit(False)).alias("within_cycle"))
+    name = lambda df, c, out: lookup(cut(df), names.select(F.col("k").alias(c), F.col("id").alias(out)), c, "inner")
+    return name(name(rest, "s", "source_id"), "t", "target_id").select("source_id", "target_id", "within_cycle")
+
+
+def all_descendants(nodes: DataFrame, links: DataFrame, node_id: str = "id", source: str = "source", target: str = "target", order: str = "id") -> DataFrame:
+    """(ancestor_id, node_id) for every node and each other node that reaches it over any links, those of further parents and within cycles too.
+
+    The forest's pairs come from its intervals. A link that the forest set aside leads to another one if that begins at or below its target; such chains are closed by
+    doubling over the links set aside alone, and each adds the pairs of what is at or above its first link's source with what is at or below its last one's target."""
+    from thicket.operators.graph import closure
+
+    tree = cut(hierarchy(every_id(nodes, links, node_id, source, target), links, "id", source, target, order).select("node_id", "root_id", "depth", "path", "preorder", "first_descendant", "last_descendant"))
+    known = nodes.select(F.col(node_id).alias("node_id")).filter("node_id is not null").distinct()
+    kept = cut(descendants(tree).select("ancestor_id", "node_id"))
+    aside = cut(set_aside(links, source, target, order).filter("source_id <> target_id").select("source_id", "target_id"))
+    if aside.isEmpty():
+        return kept.join(known, "node_id", "left_semi").select("ancestor_id", "node_id")
+    # What is at or above the source of each link set aside.
+    up = cut(aside.join(tree.select(F.col("node_id").alias("source_id"), "path"), "source_id").select("source_id", "target_id", F.explode("path").alias("above")))
+    name = lambda s, t: F.struct(F.col(s).alias("s"), F.col(t).alias("t"))
+    leads = up.select(F.col("above").alias("target_id"), name("source_id", "target_id").alias("b")).join(aside.select("target_id", name("source_id", "target_id").alias("a")), "target_id").select("a", "b")
+    chains = closure(leads).select("a", F.col("b.t").alias("last")).unionByName(aside.select(name("source_id", "target_id").alias("a"), F.col("target_id").alias("last")))
+    tops = cut(up.select(name("source_id", "target_id").alias("a"), "above").join(chains, "a").select(F.col("above").alias("ancestor_id"), "last").distinct())
+    below = kept.select(F.col("ancestor_id").alias("last"), "node_id").unionByName(tree.select(F.col("node_id").alias("last"), "node_id"))
+    more = tops.join(below, "last").select("ancestor_id", "node_id").filter("ancestor_id <> node_id")
+    return kept.unionByName(more).distinct().join(known, "node_id", "left_semi").select("ancestor_id", "node_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thicket.operators import heavy, hierarchy
 from thicket.session import table
@@ -27,7 +28,17 @@ def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "nodes"), _contains(spark, d)))
+    nodes, links = table(spark, d, "nodes"), _contains(spark, d)
+    pairs = hierarchy.descendants(hierarchy.hierarchy(hierarchy.every_id(nodes, links), links))
+    return pairs.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+
+
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_descendants(table(spark, d, "nodes"), _contains(spark, d))
+
+
+def p1_set_aside(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.set_aside(_contains(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +57,7 @@ def p4_heavy_sources(spark: SparkSession, d: str) -> DataFrame:
     return heavy.heavy_report(table(spark, d, "edges"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_intervals, p1_descendants, p4_found, p4_sources, p4_files, p4_heavy_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_intervals, p1_descendants, p1_all_descendants, p1_set_aside, p4_found, p4_sources, p4_files, p4_heavy_sources)}
 
 _REACH = """WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'contains' AND source IS NOT NULL AND target IS NOT NULL),
 inner_e AS (SELECT * FROM e WHERE target IN (SELECT source FROM e)),
@@ -72,6 +83,12 @@ SELECT least(min(b), a) AS cycle_id, a AS node_id FROM own GROUP BY a""",
 SELECT n.id AS node_id, t.parent AS parent_id, t.root AS root_id, t.depth::INTEGER AS depth, array_to_string(t.path, '/') AS path, coalesce(b.n, 0)::BIGINT AS n_descendants,
   n.id IN (SELECT a FROM reach WHERE a = b) AS in_cycle FROM nodes n JOIN tree t ON t.id = n.id LEFT JOIN below b ON b.above = n.id""",
     "p1_descendants": _FOREST + " SELECT above AS ancestor_id, pairs.id AS node_id, (t.depth - place + 1)::INTEGER AS distance FROM pairs JOIN tree t ON t.id = pairs.id WHERE pairs.id IN (SELECT id FROM nodes)",
+    "p1_all_descendants": _REACH.replace("reach(a, b)", "inside(a, b)").replace("FROM reach", "FROM inside")
+    + """, reach(a, b) AS (SELECT a, b FROM inside UNION SELECT r.a, e.target FROM inside r JOIN e ON e.source = r.b UNION SELECT source, target FROM e)
+SELECT a AS ancestor_id, b AS node_id FROM reach WHERE a <> b AND b IN (SELECT id FROM nodes)""",
+    "p1_set_aside": _FOREST
+    + """ SELECT e.source AS source_id, e.target AS target_id, EXISTS (SELECT 1 FROM reach r WHERE r.a = e.target AND r.b = e.source) AS within_cycle FROM e
+WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.id = e.target AND up.parent = e.source)""",
     "p4_found": """SELECT 'edges.source' AS field, source AS key_value FROM edges WHERE source IS NOT NULL GROUP BY source HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM edges)
 UNION ALL SELECT 'nodes.file_path', file_path FROM nodes WHERE file_path IS NOT NULL GROUP BY file_path HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM nodes)""",
     "p4_sources": """WITH c AS (SELECT source, count(*) AS n_links, count(DISTINCT kind) AS n_kinds FROM edges GROUP BY 1),
