@@ -67,9 +67,8 @@ def notices(text: str) -> tuple[int, int, int, int]:
 WINDOW, CHUNK = 256, 4_096
 
 
-#: Letters, digits and other bytes alike, to tell lines of one form.
-FORM = bytes(0x77 if chr(i).isalpha() and i < 128 or i == 0x5F or i > 127 else 0x30 if 0x30 <= i <= 0x39 else i for i in range(256))
-OPENER = re.compile(r"^[^\n]*\([^\n]*[{:][ \t\r]*$|^[ \t]*(?:def |(?:local )?function )", re.M)
+#: What a line's form leaves out.
+WORDS = bytes(i for i in range(256) if i > 127 or chr(i).isalnum() or chr(i) in "_ \t\r\f\v")
 
 
 def shape(body: str) -> tuple[float, ...]:
@@ -80,10 +79,11 @@ def shape(body: str) -> tuple[float, ...]:
     raw = body.encode("utf-8", "surrogatepass")
     n = len(tokens)
     names = [t for t in tokens if t[0].isalpha() or t[0] in "_$"]
+    literals = [t for t in tokens if t[0] in "\"'" or t[0].isdigit()]
     lengths = np.fromiter(map(len, names), np.int32, len(names)) if names else np.zeros(1, np.int32)
     lines = [x for x in body.splitlines() if x.strip()]
-    forms = Counter(x[:60] for x in re.sub(rb"(?:w[w0]*)", b"w", re.sub(rb"[ \t]+", b" ", raw.translate(FORM))).split(b"\n") if x.strip())
-    literal = sum(len(t) for t in tokens if t[0] in "\"'" or t[0].isdigit())
+    forms = Counter(raw.translate(None, WORDS).split(b"\n"))
+    opened = sum(1 for x in lines if x.rstrip()[-1] in "{:" and "(" in x or x.lstrip().startswith(("def ", "function ", "local function ")))
     entropy = distinct = words = 0.0
     for at in range(0, n, WINDOW):
         part = Counter(tokens[at : at + WINDOW])
@@ -103,12 +103,12 @@ def shape(body: str) -> tuple[float, ...]:
         len(body) / len(lines),
         max(map(len, lines)),
         1 - len(raw.translate(None, b"0123456789")) / len(raw),
-        literal / len(body),
+        sum(map(len, literals)) / len(body),
         1 - len(raw.translate(None, b" \t\r\n\f\v")) / len(raw),
-        max(forms.values()) / len(lines),
-        sum(1 for t in tokens if not (t[0].isalnum() or t[0] in "_$\"'")) / n,
+        max((k for x, k in forms.items() if x), default=0) / len(lines),
+        1 - (len(names) + len(literals)) / n,
         words / n,
-        len(OPENER.findall(body)) / len(lines),
+        opened / len(lines),
     )
 
 
