@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,3 +169,27 @@ def line_of(text: Column) -> Column:
 
 def age_words(seconds: Column) -> Column:
     return F.when(seconds < 60, "just now").when(seconds < 3600, F.concat(F.floor(seconds / 60), F.lit("m"))).when(seconds < 86400, F.concat(F.floor(seconds / 3600), F.lit("h"))).otherwise(F.concat(F.floor(seconds / 86400), F.lit("d")))
+
+
+def in_scope(url: Column, origin: str, include: list[str], exclude: list[str]) -> Column:
+    """Whether a URL is of the origin and its path matches one of the globs to include and none to exclude; ** crosses slashes, * does not."""
+    pattern = lambda g: "^" + "".join(".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in re.split(r"(\*\*|\*)", g)) + "$"
+    path = F.substring(url, len(origin) + 1, 1 << 30)
+    some = lambda globs: F.greatest(F.lit(False), F.lit(False), *[path.rlike(pattern(g)) for g in globs])
+    return url.startswith(origin + "/") & some(include) & ~some(exclude)
+
+
+def _plain(column: pd.Series) -> pd.Series:
+    return column.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower())
+
+
+def plain(column: Column) -> Column:
+    """Words in lower case without their accents and other marks."""
+    return F.pandas_udf(_plain, "string")(column)
+
+
+def plural_variants(word: Column) -> Column:
+    """A word and what it may be the plural of, by how it is spelled."""
+    one, two = F.when(F.length(word) >= 4, F.substr(word, F.lit(1), F.length(word) - 1)), F.when(F.length(word) >= 5, F.substr(word, F.lit(1), F.length(word) - 2))
+    more = F.when(word.rlike("(x|sh|ss|zz)es$"), F.array(word, two)).when(word.rlike("(ch|s|z|o)es$"), F.array(word, two, one)).when(word.rlike("s$") & ~word.rlike("ss$"), F.array(word, one)).otherwise(F.array(word))
+    return F.filter(more, lambda x: x.isNotNull())

@@ -56,15 +56,32 @@ def closure(pairs: DataFrame) -> DataFrame:
     return whole
 
 
+#: Levels of nesting that one round of impact() looks into.
+DEEP = 8
+
+
 def impact(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(id, depth) of what a change of the starts may touch: a container's content at its own depth, whatever depends on a node one deeper."""
-    inside = closure(adjacency(edges, ("contains",)))
+    inside = cut(adjacency(edges, ("contains",)))
     users = cut(adjacency(edges.filter("kind <> 'contains'"), None, reverse=True))
     follow = lambda pairs, level: pairs.join(level.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
     seen, level = None, starts.select("id").distinct()
     for depth in range(hops + 1):
         level = cut(level if seen is None else follow(users, level).join(seen, "id", "left_anti"))
-        level = level.unionByName(follow(inside, level)).distinct()
+        # What the level contains, from the level alone: DEEP joins of nesting a round.
+        front = level
+        while True:
+            steps = [follow(inside, front)]
+            for _ in range(DEEP - 1):
+                steps.append(follow(inside, steps[-1]))
+            below = steps[0].withColumn("last", F.lit(DEEP == 1))
+            for i, step in enumerate(steps[1:], 2):
+                below = below.unionByName(step.withColumn("last", F.lit(i == DEEP)))
+            below = cut(below.groupBy("id").agg(F.max("last").alias("last")).join(level, "id", "left_anti"))
+            if below.isEmpty():
+                break
+            level = cut(level.unionByName(below.select("id")))
+            front = below.filter("last").select("id")
         level = cut((level if seen is None else level.join(seen, "id", "left_anti")).withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
@@ -106,13 +123,20 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
 
+def _same_files(df: DataFrame, made: DataFrame) -> DataFrame:
+    df._thicket_path = made._thicket_path
+    return df
+
+
 def file_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(from_file, to_file, n_links) between different files; links are joined with files one end at a time, safe from heavy nodes."""
-    files = nodes.select("id", "file_path").dropDuplicates(["id"])
+    files = cut(nodes.select("id", "file_path").dropDuplicates(["id"]))
     e = edges.filter("kind <> 'contains'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    e = lookup(cut(e), files.select(F.col("id").alias("source"), F.col("file_path").alias("from_file")), "source", "inner")
+    # Made by cut(), so that lookup() need not write it out again for the other end.
+    named = lambda end, file: _same_files(files.select(F.col("id").alias(end), F.col("file_path").alias(file)), files)
+    e = lookup(cut(e), named("source", "from_file"), "source", "inner")
     e = e.groupBy("from_file", "target").agg(F.sum("n").alias("n"))
-    e = lookup(cut(e), files.select(F.col("id").alias("target"), F.col("file_path").alias("to_file")), "target", "inner")
+    e = lookup(cut(e), named("target", "to_file"), "target", "inner")
     return e.filter("from_file <> to_file").groupBy("from_file", "to_file").agg(F.sum("n").alias("n_links"))
 
 
@@ -127,17 +151,26 @@ def enclosing(spans: DataFrame, lines: DataFrame) -> DataFrame:
     return met.groupBy("file_path", "line").agg(F.min(F.struct(-F.col("start_line"), "end_line", "id"))["id"].alias("id"))
 
 
-def resolve_names(refs: DataFrame, nodes: DataFrame, ceiling: int = 500) -> DataFrame:
+def resolve_names(refs: DataFrame, nodes: DataFrame, ceiling: int | None = 500) -> DataFrame:
     """(ref_id, id, score): for each reference (ref_id, name, file_path) the definition of that name nearest by path.
 
-    Names with more than `ceiling` definitions are left open. Score: 3 for the same file, 2 for the same directory, 1 otherwise; ties by id."""
-    defs = nodes.select("name", "id", F.col("file_path").alias("def_path"))
-    few = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= ceiling)
-    met = refs.join(defs.join(few.select("name"), "name", "left_semi"), "name")
+    With a ceiling, names with more definitions are left open, as they name nothing in particular; None resolves all. Score: 3 for the same file, 2 for the same directory, 1
+    otherwise; ties by least id. Only the least id of each name, directory and file can be the answer, so references meet three small tables by equality, however
+    often a name is defined."""
+    defs = nodes.filter("name is not null").select("name", "id", F.col("file_path").alias("def_path"))
+    if ceiling is not None:
+        few = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= ceiling)
+        defs = defs.join(few.select("name"), "name", "left_semi")
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    score = F.when(F.col("file_path") == F.col("def_path"), 3).when(folder("file_path") == folder("def_path"), 2).otherwise(1)
-    best = met.groupBy("ref_id").agg(F.min(F.struct((-score).alias("s"), "id")).alias("b"))
-    return best.select("ref_id", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
+    sep = "\u0001"
+    place = lambda *c: F.concat_ws(sep, *[F.coalesce(x, F.lit("\u0002")) for x in c])
+    defs = cut(defs.select("name", "id", place(F.col("name"), F.col("def_path")).alias("in_file"), place(F.col("name"), folder("def_path")).alias("in_folder")))
+    out = cut(refs.filter("name is not null").select("ref_id", "name", place(F.col("name"), F.col("file_path")).alias("in_file"), place(F.col("name"), folder("file_path")).alias("in_folder")))
+    for key, score in (("in_file", 3), ("in_folder", 2), ("name", 1)):
+        least = defs.groupBy(key).agg(F.min("id").alias(f"id{score}"))
+        out = cut(lookup(out, least, key))
+    best = F.when(F.col("id3").isNotNull(), 3).when(F.col("id2").isNotNull(), 2).when(F.col("id1").isNotNull(), 1)
+    return out.select("ref_id", F.coalesce("id3", "id2", "id1").alias("id"), best.alias("score")).filter("id is not null")
 
 
 def resolution_edges(edges: DataFrame, nodes: DataFrame, ceiling: int = 500) -> DataFrame:

@@ -31,13 +31,13 @@ q("flt11_by_kind", "SELECT id, file_path FROM nodes WHERE kind = 'enum'")(lambda
 q("flt14_by_qualified_name", "SELECT a.id, b.id AS other FROM nodes a JOIN nodes b ON a.qualified_name = b.qualified_name AND a.id < b.id AND a.kind = 'class' AND b.kind = 'class'")(
     lambda s, d: nodes(s, d).filter("kind = 'class'").select("id", "qualified_name").join(nodes(s, d).filter("kind = 'class'").select(C("id").alias("other"), "qualified_name"), "qualified_name").filter("id < other").select("id", "other")
 )
-q("flt39_numbers_in_text", "SELECT lang, count(*) FILTER (try_cast(regexp_extract(title, '(\\d+)$', 1) AS INTEGER) > 5000) AS n FROM documents GROUP BY 1")(
+q("numbers_in_titles", "SELECT lang, count(*) FILTER (try_cast(regexp_extract(title, '(\\d+)$', 1) AS INTEGER) > 5000) AS n FROM documents GROUP BY 1")(
     lambda s, d: docs(s, d).groupBy("lang").agg(F.count_if(F.regexp_extract("title", r"(\d+)\z", 1).try_cast("int") > 5000).alias("n"))
 )
-q("jn03_first_piece_of_files", "SELECT f.path, min(v.pos) AS pos, max(v.seq) AS last_seq FROM files f JOIN content_vectors v ON v.hash = f.content_hash GROUP BY 1")(
+q("first_piece_of_files", "SELECT f.path, min(v.pos) AS pos, max(v.seq) AS last_seq FROM files f JOIN content_vectors v ON v.hash = f.content_hash GROUP BY 1")(
     lambda s, d: files(s, d).select("path", C("content_hash").alias("hash")).join(pieces(s, d).groupBy("hash").agg(F.min("pos").alias("pos"), F.max("seq").alias("last_seq")), "hash").groupBy("path").agg(F.min("pos").alias("pos"), F.max("last_seq").alias("last_seq"))
 )
-q("jn05_interfaces_and_implementers", "SELECT i.id AS interface_id, c.id, c.file_path FROM edges e JOIN nodes c ON c.id = e.source JOIN nodes i ON i.id = e.target WHERE e.kind = 'implements' AND c.kind = 'class' GROUP BY 1, 2, 3")(
+q("interfaces_and_implementers", "SELECT i.id AS interface_id, c.id, c.file_path FROM edges e JOIN nodes c ON c.id = e.source JOIN nodes i ON i.id = e.target WHERE e.kind = 'implements' AND c.kind = 'class' GROUP BY 1, 2, 3")(
     lambda s, d: edges(s, d).filter("kind = 'implements'").select(C("source").alias("id"), C("target").alias("interface_id")).distinct().join(nodes(s, d).filter("kind = 'class'").select("id", "file_path"), "id")
     .join(nodes(s, d).select(C("id").alias("interface_id")), "interface_id", "left_semi").select("interface_id", "id", "file_path").distinct()
 )
@@ -58,20 +58,20 @@ q("jn15_pending_count", "SELECT count(DISTINCT c.hash) AS n FROM content c LEFT
     lambda s, d: content(s, d).select("hash").join(pieces(s, d), "hash", "left_anti").agg(F.countDistinct("hash").alias("n"))
 )
 q("jn16_files_without_nodes", "SELECT path FROM files WHERE path NOT IN (SELECT file_path FROM nodes)")(lambda s, d: files(s, d).select("path").join(nodes(s, d).select(C("file_path").alias("path")), "path", "left_anti"))
-q("jn17_label_coverage", "SELECT source, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM subject_labels)) AS n_labelled FROM documents GROUP BY 1")(
+q("label_coverage", "SELECT source, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM subject_labels)) AS n_labelled FROM documents GROUP BY 1")(
     lambda s, d: docs(s, d).select("doc_id", "source").join(table(s, d, "subject_labels").select("doc_id").distinct().withColumn("l", F.lit(1)), "doc_id", "left").groupBy("source").agg(N(), F.count("l").alias("n_labelled"))
 )
 q("jn22_collections_without_adr", "SELECT DISTINCT collection FROM documents WHERE collection NOT IN (SELECT collection FROM documents WHERE source = 'adr')")(
     lambda s, d: docs(s, d).select("collection").distinct().join(docs(s, d).filter("source = 'adr'"), "collection", "left_anti")
 )
-q("jn24_nearest_collection_prefix", "SELECT d.doc_id, max(c.collection) AS owner FROM documents d JOIN (SELECT DISTINCT collection FROM documents) c ON starts_with(d.path, c.collection || '/') GROUP BY 1")(
+q("nearest_collection", "SELECT d.doc_id, max(c.collection) AS owner FROM documents d JOIN (SELECT DISTINCT collection FROM documents) c ON starts_with(d.path, c.collection || '/') GROUP BY 1")(
     lambda s, d: docs(s, d).select("doc_id", F.element_at(F.split("path", "/"), 1).alias("collection")).join(docs(s, d).select("collection").distinct(), "collection").select("doc_id", C("collection").alias("owner"))
 )
 q("jn54_definition_delta", "SELECT coalesce(a.file_path, b.file_path) AS file_path, coalesce(a.name, b.name) AS name, a.name IS NULL AS added FROM (SELECT DISTINCT file_path, name FROM nodes WHERE updated_at < TIMESTAMP '2026-01-10') a FULL JOIN (SELECT DISTINCT file_path, name FROM nodes WHERE updated_at >= TIMESTAMP '2026-01-05') b ON a.file_path = b.file_path AND a.name = b.name WHERE a.name IS NULL OR b.name IS NULL")(
     lambda s, d: nodes(s, d).filter("updated_at < timestamp_ntz '2026-01-10 00:00:00'").select("file_path", "name", F.lit(1).alias("a")).distinct()
     .join(nodes(s, d).filter("updated_at >= timestamp_ntz '2026-01-05 00:00:00'").select("file_path", "name", F.lit(1).alias("b")).distinct(), ["file_path", "name"], "full").filter("a is null or b is null").select("file_path", "name", C("a").isNull().alias("added"))
 )
-q("jn55_same_identity", "SELECT name, kind, qualified_name, count(*) AS n FROM nodes GROUP BY 1, 2, 3 HAVING count(*) > 1")(lambda s, d: nodes(s, d).groupBy("name", "kind", "qualified_name").agg(N()).filter("n > 1"))
+q("same_identity", "SELECT name, kind, qualified_name, count(*) AS n FROM nodes GROUP BY 1, 2, 3 HAVING count(*) > 1")(lambda s, d: nodes(s, d).groupBy("name", "kind", "qualified_name").agg(N()).filter("n > 1"))
 q("agg02_totals", "SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM files) AS n_files")(
     lambda s, d: s.range(1).select(F.lit(nodes(s, d).count()).cast("long").alias("n_nodes"), F.lit(edges(s, d).count()).cast("long").alias("n_edges"), F.lit(files(s, d).count()).cast("long").alias("n_files"))
 )
@@ -83,7 +83,7 @@ q("agg13_collection_counts", "SELECT collection, source, count(*) AS n, sum(acti
 q("agg17_several_signatures", "SELECT name, count(DISTINCT signature) AS n FROM nodes WHERE signature IS NOT NULL GROUP BY 1 HAVING count(DISTINCT signature) > 1")(
     lambda s, d: nodes(s, d).filter("signature is not null").groupBy("name").agg(F.countDistinct("signature").alias("n")).filter("n > 1")
 )
-q("agg20_means_by_segment", "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean, count(*) AS n FROM customer GROUP BY 1")(lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), N()))
+q("means_by_segment", "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean, count(*) AS n FROM customer GROUP BY 1")(lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), N()))
 q("agg23_middle_row", "SELECT subsystem, record_id, cpuuserms FROM (SELECT DISTINCT subsystem, record_id, cpuuserms, row_number() OVER (PARTITION BY subsystem ORDER BY cpuuserms, record_id) AS i, count(*) OVER (PARTITION BY subsystem) AS n FROM (SELECT DISTINCT subsystem, record_id, cpuuserms FROM work_unit_records)) WHERE i = n // 2 + 1")(
     lambda s, d: _middle(s, d)
 )
@@ -98,13 +98,13 @@ def _middle(s: SparkSession, d: str) -> DataFrame:
 q("agg26_order_percentiles", "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")(
     lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.expr("percentile_disc(0.5) within group (order by o_totalprice)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by o_totalprice)").alias("p95"))
 )
-q("agg30_bytes_ledger", "SELECT root, sum(coalesce(rssendbytes, 0) - coalesce(rssstartbytes, 0))::BIGINT AS n_bytes, count(*) AS n FROM work_unit_records GROUP BY 1")(
+q("bytes_by_root", "SELECT root, sum(coalesce(rssendbytes, 0) - coalesce(rssstartbytes, 0))::BIGINT AS n_bytes, count(*) AS n FROM work_unit_records GROUP BY 1")(
     lambda s, d: table(s, d, "work_unit_records").groupBy("root").agg(F.sum(F.coalesce("rssendbytes", F.lit(0)) - F.coalesce("rssstartbytes", F.lit(0))).alias("n_bytes"), N())
 )
-q("rk06_kind_bonus", "SELECT id, CASE kind WHEN 'class' THEN 10 WHEN 'function' THEN 8 WHEN 'method' THEN 6 ELSE 0 END + CASE WHEN is_exported = 1 THEN 5 ELSE 0 END AS score FROM nodes")(
+q("kind_and_export_bonus", "SELECT id, CASE kind WHEN 'class' THEN 10 WHEN 'function' THEN 8 WHEN 'method' THEN 6 ELSE 0 END + CASE WHEN is_exported = 1 THEN 5 ELSE 0 END AS score FROM nodes")(
     lambda s, d: nodes(s, d).select("id", (F.expr("case kind when 'class' then 10 when 'function' then 8 when 'method' then 6 else 0 end") + F.when(C("is_exported") == 1, 5).otherwise(0)).alias("score"))
 )
-q("rk37_scope_distance", "SELECT path, 200 - 20 * (len(string_split(path, '/')) - 1) AS score FROM files")(lambda s, d: files(s, d).select("path", (200 - 20 * (F.size(F.split("path", "/")) - 1)).cast("long").alias("score")))
+q("path_depth_score", "SELECT path, 200 - 20 * (len(string_split(path, '/')) - 1) AS score FROM files")(lambda s, d: files(s, d).select("path", (200 - 20 * (F.size(F.split("path", "/")) - 1)).cast("long").alias("score")))
 q("rk36_recency", "SELECT path, CASE WHEN modified_at >= m - INTERVAL 1 DAY THEN 100 WHEN modified_at >= m - INTERVAL 7 DAY THEN 80 WHEN modified_at >= m - INTERVAL 30 DAY THEN 50 ELSE 20 END AS score FROM files, (SELECT max(modified_at) AS m FROM files)")(
     lambda s, d: _recency(s, d)
 )

@@ -66,7 +66,7 @@ q("src21_section_of_line", r"SELECT doc_id, n, last_value(CASE WHEN regexp_match
     lambda s, d: lines(s, d).withColumn("section_line", F.last(F.when(C("line").rlike("^#{1,6} "), C("n")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
     .select("doc_id", C("n").cast("long").alias("n"), C("section_line").cast("long").alias("section_line"))
 )
-q("src30_urls", r"SELECT doc_id, u AS url FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\]\(([^)\s]+)\)', 1)) AS u FROM documents) GROUP BY 1, 2")(
+q("links_of_documents", r"SELECT doc_id, u AS url FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\]\(([^)\s]+)\)', 1)) AS u FROM documents) GROUP BY 1, 2")(
     lambda s, d: docs(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([^)\s]+)\)"), 1)).alias("url")).distinct()
 )
 
@@ -144,7 +144,7 @@ q("sc11_content_words", "SELECT doc_id, len(list_filter(regexp_extract_all(lower
 q("sc16_code_fences", f"SELECT doc_id, count(*) AS n_fences, count(*) % 2 = 1 AS left_open FROM {_LINES} WHERE regexp_matches(line, '^[ ]{{0,3}}```') GROUP BY 1")(
     lambda s, d: lines(s, d).filter(C("line").rlike("^[ ]{0,3}```")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fences")).withColumn("left_open", C("n_fences") % 2 == 1)
 )
-q("sc31_fingerprints", "SELECT model, embed_fingerprint, count(DISTINCT hash) AS n_hashes, count(*) AS n FROM content_vectors GROUP BY 1, 2")(
+q("fingerprints_by_model", "SELECT model, embed_fingerprint, count(DISTINCT hash) AS n_hashes, count(*) AS n FROM content_vectors GROUP BY 1, 2")(
     lambda s, d: table(s, d, "content_vectors").groupBy("model", "embed_fingerprint").agg(F.countDistinct("hash").alias("n_hashes"), F.count(F.lit(1)).alias("n"))
 )
 q("sc35_event_properties", "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")(
@@ -195,21 +195,21 @@ q("agg22_outcomes", "SELECT outcome, error IS NOT NULL AS has_error, count(*) AS
 q("agg28_token_buckets", "SELECT CASE WHEN t < 300 THEN 0 ELSE 1 + floor((t - 300) / 200) END::BIGINT AS bucket, count(*) AS n FROM (SELECT ceil(length(text) / 4) AS t FROM documents) GROUP BY 1")(
     lambda s, d: docs(s, d).select(tx.tokens_about(C("text")).alias("t")).groupBy(F.when(C("t") < 300, 0).otherwise(1 + F.floor((C("t") - 300) / 200)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 )
-q("agg25_revenue", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")(
+q("revenue", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")(
     lambda s, d: table(s, d, "lineitem").filter("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum(C("l_extendedprice") * (1 - C("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 )
-q("st09_user_gaps", "SELECT user_id, max(date_diff('second', before, ts)) AS longest_gap, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 1 DAY) AS n_sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1")(
+q("user_gaps", "SELECT user_id, max(date_diff('second', before, ts)) AS longest_gap, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 1 DAY) AS n_sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1")(
     lambda s, d: table(s, d, "events").withColumn("before", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     .groupBy("user_id").agg(F.max(F.expr("timestampdiff(second, date_trunc('second', before), date_trunc('second', ts))")).alias("longest_gap"), F.count_if(C("before").isNull() | (C("ts") - C("before") > F.expr("interval 1 day"))).alias("n_sessions"))
 )
 q("ext03_overview", "SELECT language, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, count(*) FILTER (generated = 1) AS n_generated FROM files GROUP BY 1")(
     lambda s, d: table(s, d, "files").groupBy("language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), F.count_if(C("generated") == 1).alias("n_generated"))
 )
-q("ext28_top_paths", "SELECT string_split(path, '/')[1] AS top, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: docs(s, d).groupBy(F.split("path", "/")[0].alias("top")).agg(F.count(F.lit(1)).alias("n")))
+q("top_paths", "SELECT string_split(path, '/')[1] AS top, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: docs(s, d).groupBy(F.split("path", "/")[0].alias("top")).agg(F.count(F.lit(1)).alias("n")))
 q("ext64_multi_get", r"SELECT doc_id, path, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS head FROM documents WHERE regexp_matches(path, '^[^/]*wiki[^/]*/(?:.*/)?[^/]*\.md$') AND length(text) <= 4000")(
     lambda s, d: docs(s, d).filter(C("path").rlike(tx.glob_regex("*wiki*/**/*.md")) & (F.length("text") <= 4000)).select("doc_id", "path", F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n").alias("head"))
 )
-q("ext10_embedding_health", "SELECT label, count(*) AS n, round(min(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 4) AS least, bool_and(len(embedding) = 64) AS right_length FROM embeddings GROUP BY 1")(
+q("embedding_health", "SELECT label, count(*) AS n, round(min(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 4) AS least, bool_and(len(embedding) = 64) AS right_length FROM embeddings GROUP BY 1")(
     lambda s, d: table(s, d, "embeddings").withColumn("n2", F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)))
     .groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("n2"), 4).alias("least"), F.bool_and(F.size("embedding") == 64).alias("right_length"))
 )
@@ -234,7 +234,7 @@ def _insertable(s: SparkSession, d: str) -> DataFrame:
 
 
 # Streams over what is there
-q("st01_windowed_events", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
+q("windowed_events", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda s, d: streams.drained(streams.windowed_counts(streams.parquet_stream(s, d, "events"), "ts", "event_type", "1 day", "40 days"), "complete")
     .select(C("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 )
@@ -245,7 +245,7 @@ b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS bu
 q("st06_followed_lines", f"SELECT line AS value, count(*) AS n FROM {_LINES} WHERE regexp_matches(line, '(?i) line \\d+ error') GROUP BY 1")(
     lambda s, d: streams.drained(streams.followed_lines(streams.parquet_stream(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")), r" line \d+ error")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 )
-q("st04_kept_postings", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2")(lambda s, d: _kept(s, d))
+q("kept_postings", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2")(lambda s, d: _kept(s, d))
 
 
 def _kept(s: SparkSession, d: str) -> DataFrame:

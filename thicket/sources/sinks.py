@@ -24,6 +24,19 @@ def as_markdown(df: DataFrame, title: str, link: str, note: Column) -> DataFrame
     return df.select(F.concat(F.lit("- ["), F.coalesce(title, F.lit("untitled")), F.lit("]("), F.coalesce(link, F.lit("")), F.lit("): "), note).alias("line"))
 
 
+def as_xml(df: DataFrame, docid: Column, name: str, title: str, body: str) -> DataFrame:
+    """(line): each row as a file element with its short id, name and, if there is one, title; a null body makes a null line."""
+
+    def escaped(c: str) -> Column:
+        out = F.col(c)
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+            out = F.replace(out, F.lit(raw), F.lit(safe))
+        return out
+
+    head = F.when(F.coalesce(title, F.lit("")) == "", "").otherwise(F.concat(F.lit(' title="'), escaped(title), F.lit('"')))
+    return df.select(F.concat(F.lit('<file docid="#'), docid, F.lit('" name="'), escaped(name), F.lit('"'), head, F.lit(">\n"), escaped(body), F.lit("\n</file>")).alias("line"))
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key; of rows alike in `order` one, the greatest by all its columns."""
     rest = [c for c in df.columns if c not in keys]
