@@ -56,32 +56,19 @@ def closure(pairs: DataFrame) -> DataFrame:
     return whole
 
 
-#: Levels of nesting that one round of impact() looks into.
-DEEP = 8
-
-
 def impact(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(id, depth) of what a change of the starts may touch: a container's content at its own depth, whatever depends on a node one deeper."""
     inside = cut(adjacency(edges, ("contains",)))
+    # Only containers within containers are closed over; what contains nothing, nearly all there is, is met from the level alone.
+    nested = closure(inside.join(inside.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
     users = cut(adjacency(edges.filter("kind <> 'contains'"), None, reverse=True))
     follow = lambda pairs, level: pairs.join(level.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
     seen, level = None, starts.select("id").distinct()
     for depth in range(hops + 1):
         level = cut(level if seen is None else follow(users, level).join(seen, "id", "left_anti"))
-        # What the level contains, from the level alone: DEEP joins of nesting a round.
-        front = level
-        while True:
-            steps = [follow(inside, front)]
-            for _ in range(DEEP - 1):
-                steps.append(follow(inside, steps[-1]))
-            below = steps[0].withColumn("last", F.lit(DEEP == 1))
-            for i, step in enumerate(steps[1:], 2):
-                below = below.unionByName(step.withColumn("last", F.lit(i == DEEP)))
-            below = cut(below.groupBy("id").agg(F.max("last").alias("last")).join(level, "id", "left_anti"))
-            if below.isEmpty():
-                break
-            level = cut(level.unionByName(below.select("id")))
-            front = below.filter("last").select("id")
+        # What the level contains: the containers within it, then the content of all of them.
+        level = cut(level.unionByName(follow(nested, level)).distinct())
+        level = level.unionByName(follow(inside, level)).distinct()
         level = cut((level if seen is None else level.join(seen, "id", "left_anti")).withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break

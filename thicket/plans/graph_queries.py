@@ -72,13 +72,13 @@ def _w(key, *order):
 
 
 def _islands(n: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Spans that overlap or touch, merged. A file with very many spans lies in several range partitions, which hand on the furthest line so far and the islands so far."""
     spans = n.filter("start_line is not null and end_line is not null").select("file_path", "id", F.col("start_line").alias("a"), F.greatest("start_line", "end_line").alias("b"))
-    w = Window.partitionBy("file_path").orderBy("a", "b", "id")
-    upto = spans.withColumn("upto", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = upto.withColumn("island", F.sum(F.when(F.col("upto").isNull() | (F.col("a") > F.col("upto") + 1), 1).otherwise(0)).over(w))
-    return marked.groupBy("file_path", "island").agg(F.min("a").alias("first_line"), F.max("b").alias("last_line")).drop("island")
+    order = [F.col("a"), F.col("b"), F.col("id")]
+    upto = skew.ordered_totals(spans, ["file_path"], order, F.col("b"), "upto", most=True)
+    marked = upto.withColumn("new", F.when(F.col("upto").isNull() | (F.col("a") > F.col("upto") + 1), 1).otherwise(0))
+    island = skew.ordered_totals(marked, ["file_path"], order, F.col("new"), "earlier").withColumn("island", F.col("earlier") + F.col("new"))
+    return island.groupBy("file_path", "island").agg(F.min("a").alias("first_line"), F.max("b").alias("last_line")).drop("island")
 
 
 q("flt10_file_outline", "SELECT file_path, id, kind, name, start_line, row_number() OVER (PARTITION BY file_path ORDER BY start_line, id)::INTEGER AS place FROM nodes WHERE kind IN ('class', 'struct', 'interface')")(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators import graph, skew
 from thicket.plans.registry import Registry
-from thicket.session import cut, table
+from thicket.session import cut, small, table
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -90,13 +90,14 @@ q("agg23_middle_row", "SELECT subsystem, record_id, cpuuserms FROM (SELECT DISTI
 
 
 def _middle(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("subsystem")
     rows = table(s, d, "work_unit_records").select("subsystem", "record_id", "cpuuserms").distinct()
-    return rows.withColumn("i", F.row_number().over(w.orderBy("cpuuserms", "record_id"))).withColumn("n", F.count(F.lit(1)).over(w)).filter("i = n div 2 + 1").select("subsystem", "record_id", "cpuuserms")
+    ranked = cut(skew.ordered_totals(rows, ["subsystem"], [C("cpuuserms"), C("record_id")]))
+    counts = ranked.groupBy(C("subsystem").alias("s")).agg(N())
+    return ranked.join(F.broadcast(counts) if small(counts) else counts, C("subsystem").eqNullSafe(C("s"))).filter("before = n div 2").select("subsystem", "record_id", "cpuuserms")
 
 
 q("agg26_order_percentiles", "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")(
-    lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.expr("percentile_disc(0.5) within group (order by o_totalprice)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by o_totalprice)").alias("p95"))
+    lambda s, d: skew.exact_percentiles(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice", (50, 95)).groupBy("o_orderpriority").agg(F.max(F.when(C("percent") == 50, C("x"))).alias("p50"), F.max(F.when(C("percent") == 95, C("x"))).alias("p95"))
 )
 q("bytes_by_root", "SELECT root, sum(coalesce(rssendbytes, 0) - coalesce(rssstartbytes, 0))::BIGINT AS n_bytes, count(*) AS n FROM work_unit_records GROUP BY 1")(
     lambda s, d: table(s, d, "work_unit_records").groupBy("root").agg(F.sum(F.coalesce("rssendbytes", F.lit(0)) - F.coalesce("rssstartbytes", F.lit(0))).alias("n_bytes"), N())
@@ -144,5 +145,5 @@ q("ext41_names_of_changed_files", "SELECT DISTINCT file_path, name FROM nodes WH
     lambda s, d: nodes(s, d).select("file_path", "name").distinct().join(files(s, d).filter("indexed_at < modified_at").select(C("path").alias("file_path")), "file_path", "left_semi")
 )
 q("ext60_by_collection_prefix", "SELECT doc_id FROM documents WHERE starts_with(collection, 'harborlight') OR starts_with(collection, 'feed')")(lambda s, d: docs(s, d).filter(C("collection").startswith("harborlight") | C("collection").startswith("feed")).select("doc_id"))
-q("ext65_listing", "SELECT collection, path, row_number() OVER (PARTITION BY collection ORDER BY path)::INTEGER AS place FROM documents")(lambda s, d: docs(s, d).select("collection", "path", F.row_number().over(Window.partitionBy("collection").orderBy("path")).alias("place")))
+q("ext65_listing", "SELECT collection, path, row_number() OVER (PARTITION BY collection ORDER BY path)::INTEGER AS place FROM documents")(lambda s, d: skew.ordered_totals(docs(s, d).select("collection", "path"), ["collection"], [C("path")]).select("collection", "path", (C("before") + 1).cast("int").alias("place")))
 q("ext63_census", "SELECT model, count(DISTINCT hash) AS n_hashes, min(embedded_at) AS first_at, max(embedded_at) AS last_at FROM content_vectors GROUP BY 1")(lambda s, d: pieces(s, d).groupBy("model").agg(F.countDistinct("hash").alias("n_hashes"), F.min("embedded_at").alias("first_at"), F.max("embedded_at").alias("last_at")))

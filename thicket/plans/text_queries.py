@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import text as tx
-from thicket.operators import search
+from thicket.operators import search, skew
 from thicket.plans.registry import Registry
 from thicket.session import cut, table
 from thicket.sources import formats, sinks
@@ -44,10 +44,7 @@ q("src10_content_hash", "SELECT doc_id, sha256(text) AS digest, sha256(text) = h
     lambda s, d: docs(s, d).select("doc_id", F.sha2("text", 256).alias("digest"), (F.sha2("text", 256) == C("hash")).alias("agrees"), F.substring(F.sha2("text", 256), 1, 6).alias("docid"))
 )
 q("src11_distinct_content", "SELECT hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: docs(s, d).groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
-q("src12_slugs", r"SELECT path, regexp_replace(regexp_replace(left(path, length(path) - length(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1))), '[^\p{L}\p{N}$/]+', '-', 'g'), '-+$', '') || regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1) AS slug FROM (SELECT path FROM files WHERE NOT contains(path, '___') AND NOT contains(path, '/_'))")(
-    lambda s, d: table(s, d, "files").filter(~C("path").contains("___") & ~C("path").contains("/_")).select("path", tx.slug(C("path")).alias("slug"))
-)
-q("src12_all_slugs")(lambda s, d: table(s, d, "files").select("path", tx.slug(C("path")).alias("slug")))
+q("src12_slugs")(lambda s, d: table(s, d, "files").select("path", tx.slug(C("path")).alias("slug")))
 q("src14_file_types", "SELECT CASE WHEN e IN ('md', 'mdx', 'rst') THEN 'markdown' WHEN e IN ('json', 'yaml', 'yml', 'toml', 'xml', 'ini') THEN 'structured' WHEN e IN ('csv', 'tsv') THEN 'tabular' WHEN e = 'log' THEN 'log' WHEN e = '' THEN 'other' ELSE 'code' END AS file_type, count(*) AS n FROM (SELECT lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM files) GROUP BY 1".replace("\\\\", "\\"))(
     lambda s, d: table(s, d, "files").groupBy(tx.file_type(C("path")).alias("file_type")).agg(F.count(F.lit(1)).alias("n"))
 )
@@ -127,7 +124,7 @@ SELECT b.doc_id, b.n::INTEGER AS line, b.hits, array_to_string(list_slice(string
     lambda s, d: search.snippets(docs(s, d), "doc_id", "text", ["gravity", "wave"])
 )
 q("rk59_budget", "SELECT collection, doc_id FROM (SELECT collection, doc_id, sum(ceil(length(text) / 4)) OVER (PARTITION BY collection ORDER BY modified_at DESC, doc_id) AS used FROM documents) WHERE used <= 24000")(
-    lambda s, d: docs(s, d).withColumn("used", F.sum(tx.tokens_about(C("text"))).over(Window.partitionBy("collection").orderBy(F.desc("modified_at"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))).filter("used <= 24000").select("collection", "doc_id")
+    lambda s, d: skew.ordered_totals(docs(s, d).select("collection", "doc_id", "modified_at", tx.tokens_about(C("text")).alias("k")), ["collection"], [C("modified_at").desc(), C("doc_id")], C("k")).filter(C("before") + C("k") <= 24_000).select("collection", "doc_id")
 )
 q("rk60_token_estimate", "SELECT doc_id, ceil(length(text) / 4)::BIGINT AS n_tokens FROM documents")(lambda s, d: docs(s, d).select("doc_id", tx.tokens_about(C("text")).alias("n_tokens")))
 
@@ -187,8 +184,18 @@ q("set11_stale_files", "SELECT f.path FROM files f JOIN content c ON c.hash = f.
 
 # Telemetry and orders: run statistics
 q("agg21_run_stats", """SELECT subsystem, operation, count(*) AS n, round(avg(cpuuserms), 6) AS mean, round(coalesce(stddev_samp(cpuuserms), 0), 6) AS deviation, min(cpuuserms) AS least, max(cpuuserms) AS most, round(quantile_cont(cpuuserms, 0.5), 6) AS middle FROM work_unit_records GROUP BY 1, 2""")(
-    lambda s, d: records(s, d).groupBy("subsystem", "operation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cpuuserms"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("cpuuserms"), F.lit(0.0)), 6).alias("deviation"), F.min("cpuuserms").alias("least"), F.max("cpuuserms").alias("most"), F.round(F.percentile("cpuuserms", 0.5), 6).alias("middle"))
+    lambda s, d: _run_stats(s, d)
 )
+
+
+def _run_stats(s: SparkSession, d: str) -> DataFrame:
+    """Medians by counts of equal values, so that no group is held in one task."""
+    r, keys = records(s, d).select("subsystem", "operation", "cpuuserms"), ("subsystem", "operation")
+    plain = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cpuuserms"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("cpuuserms"), F.lit(0.0)), 6).alias("deviation"), F.min("cpuuserms").alias("least"), F.max("cpuuserms").alias("most"))
+    middle = skew.exact_percentiles(r, keys, "cpuuserms", (50,), between=True).select(C("subsystem").alias("a"), C("operation").alias("b"), F.round("x", 6).alias("middle"))
+    return plain.join(middle, C("subsystem").eqNullSafe(C("a")) & C("operation").eqNullSafe(C("b")), "left").drop("a", "b")
+
+
 q("agg22_outcomes", "SELECT outcome, error IS NOT NULL AS has_error, count(*) AS n, sum(coalesce(bytecount, 0))::BIGINT AS n_bytes FROM work_unit_records GROUP BY 1, 2")(
     lambda s, d: records(s, d).groupBy("outcome", C("error").isNotNull().alias("has_error")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("bytecount", F.lit(0))).alias("n_bytes"))
 )

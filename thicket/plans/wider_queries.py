@@ -450,18 +450,3 @@ for _c in ("path", "title", "text"):
 q("snk05_file_lines", """SELECT '#' || left(hash, 6) || ',' || printf('%.2f', n_chars / 4.0) || ',' || path || CASE WHEN title IS NULL THEN '' ELSE ',"' || replace(title, '"', '""') || '"' END AS line FROM documents""")(
     lambda s, d: docs(s, d).select(F.concat(F.lit("#"), F.substring("hash", 1, 6), F.lit(","), F.format_string("%.2f", C("n_chars") / 4.0), F.lit(","), "path", F.when(C("title").isNull(), "").otherwise(F.concat(F.lit(',"'), F.replace("title", F.lit('"'), F.lit('""')), F.lit('"')))).alias("line"))
 )
-
-# Exact ranks and percentiles in groups of any size
-q("agg21_statistics", """SELECT subsystem, operation, count(*) AS n, round(avg(cpuuserms), 6) AS mean, round(coalesce(stddev_samp(cpuuserms), 0), 6) AS deviation, min(cpuuserms) AS least, max(cpuuserms) AS most, round(quantile_cont(cpuuserms, 0.5), 6) AS middle FROM work_unit_records GROUP BY 1, 2""")(lambda s, d: _statistics(s, d))
-
-
-def _statistics(s: SparkSession, d: str) -> DataFrame:
-    r = records(s, d).select("subsystem", "operation", "cpuuserms")
-    plain = r.groupBy("subsystem", "operation").agg(N(), F.round(F.avg("cpuuserms"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("cpuuserms"), F.lit(0.0)), 6).alias("deviation"), F.min("cpuuserms").alias("least"), F.max("cpuuserms").alias("most"))
-    middle = skew.exact_percentiles(r, ["subsystem", "operation"], "cpuuserms", (50,), between=True).select(C("subsystem").alias("a"), C("operation").alias("b"), F.round("x", 6).alias("middle"))
-    return plain.join(middle, C("subsystem").eqNullSafe(C("a")) & C("operation").eqNullSafe(C("b")), "left").drop("a", "b")
-
-
-q("rk59_budget_by_collection", "SELECT collection, doc_id FROM (SELECT collection, doc_id, sum(ceil(length(text) / 4)) OVER (PARTITION BY collection ORDER BY modified_at DESC, doc_id) AS used FROM documents) WHERE used <= 24000")(
-    lambda s, d: skew.ordered_totals(docs(s, d).select("collection", "doc_id", "modified_at", tx.tokens_about(C("text")).alias("k")), ["collection"], [C("modified_at").desc(), C("doc_id")], C("k")).filter(C("before") + C("k") <= 24_000).select("collection", "doc_id")
-)
