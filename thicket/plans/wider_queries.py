@@ -450,3 +450,77 @@ for _c in ("path", "title", "text"):
 q("snk05_file_lines", """SELECT '#' || left(hash, 6) || ',' || printf('%.2f', n_chars / 4.0) || ',' || path || CASE WHEN title IS NULL THEN '' ELSE ',"' || replace(title, '"', '""') || '"' END AS line FROM documents""")(
     lambda s, d: docs(s, d).select(F.concat(F.lit("#"), F.substring("hash", 1, 6), F.lit(","), F.format_string("%.2f", C("n_chars") / 4.0), F.lit(","), "path", F.when(C("title").isNull(), "").otherwise(F.concat(F.lit(',"'), F.replace("title", F.lit('"'), F.lit('""')), F.lit('"')))).alias("line"))
 )
+
+# Addresses
+_HUB = "'https://github.com/' || collection || '/' || coalesce(source, 'main') || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '/blob/v1/' || path ELSE '/tree/main' END"
+q("src34_repository_urls", rf"""SELECT doc_id, regexp_extract(u, '{{p}}', 1) AS owner, regexp_extract(u, '{{p}}', 2) AS repo, regexp_extract(u, '{{p}}', 3) AS view, regexp_extract(u, '{{p}}', 4) AS ref, regexp_extract(u, '{{p}}', 5) AS path FROM (SELECT doc_id, {_HUB} AS u FROM documents)""".replace("{p}", r"^https?://(?:www\.)?github\.com/([^/]+)/([^/#?]+)(?:/(blob|tree)/([^/]+)(?:/(.*))?)?$"))(
+    lambda s, d: docs(s, d).select("doc_id", F.expr(_HUB).alias("u")).select("doc_id", *[F.regexp_extract("u", r"^https?://(?:www\.)?github\.com/([^/]+)/([^/#?]+)(?:/(blob|tree)/([^/]+)(?:/(.*))?)?$", i).alias(n) for i, n in enumerate(("owner", "repo", "view", "ref", "path"), 1)])
+)
+_TUBE = "CASE doc_id % 4 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || left(hash, 11) || '&t=4' WHEN 1 THEN 'https://youtu.be/' || left(hash, 11) WHEN 2 THEN 'https://youtube.com/shorts/' || left(hash, 11) ELSE 'https://example.com/watch?v=' || left(hash, 11) END"
+_TUBE_ID = r"^https?://(?:(?:www|m)\.)?(?:youtu\.be/|youtube\.com/(?:watch\?(?:[^#]*&)?v=|shorts/|embed/|live/))([A-Za-z0-9_-]{11})"
+q("src35_video_ids", f"SELECT doc_id, regexp_extract(u, '{_TUBE_ID}', 1) AS video_id FROM (SELECT doc_id, {_TUBE} AS u FROM documents)")(lambda s, d: docs(s, d).select("doc_id", F.regexp_extract(F.expr(_TUBE), _TUBE_ID, 1).alias("video_id")))
+
+# Filters on symbols and files
+q("flt17_decorated_like", "SELECT id, decorators FROM nodes WHERE decorators LIKE '%\"%a%\"%'")(lambda s, d: nodes(s, d).filter(C("decorators").like('%"%a%"%')).select("id", "decorators"))
+_EIGHT = ("function", "method", "class", "interface", "struct", "enum", "type_alias", "module")
+q("flt18_qualified_globs", f"SELECT id, qualified_name FROM nodes WHERE kind IN {_EIGHT} AND regexp_matches(qualified_name, '^[^/]*cache[^/]*$')")(lambda s, d: nodes(s, d).filter(C("kind").isin(*_EIGHT) & C("qualified_name").rlike(tx.glob_regex("*cache*"))).select("id", "qualified_name"))
+q("flt25_ambient_files", """WITH f AS (SELECT file_path FROM nodes WHERE kind NOT IN ('file', 'import') GROUP BY 1 HAVING bool_and(kind IN ('interface', 'type_alias', 'enum', 'namespace', 'module'))),
+o AS (SELECT DISTINCT n.file_path FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'calls') SELECT file_path FROM f WHERE file_path NOT IN (SELECT file_path FROM o)""")(
+    lambda s, d: nodes(s, d).filter("kind not in ('file', 'import')").groupBy("file_path").agg(F.bool_and(C("kind").isin("interface", "type_alias", "enum", "namespace", "module")).alias("types")).filter("types").select("file_path")
+    .join(edges(s, d).filter("kind = 'calls'").select(C("source").alias("id")).distinct().join(nodes(s, d).select("id", "file_path"), "id"), "file_path", "left_anti")
+)
+
+# Imports, siblings and touched signatures
+q("jn44_definitions_for_imports", """WITH f AS (SELECT name, language, min(id) AS def_id FROM nodes WHERE kind NOT IN ('import', 'file') GROUP BY 1, 2) SELECT n.id, coalesce(f.def_id, n.id) AS shown_id FROM nodes n LEFT JOIN f ON n.kind = 'import' AND f.name = n.name AND f.language = n.language""")(
+    lambda s, d: _for_imports(s, d)
+)
+
+
+def _for_imports(s: SparkSession, d: str) -> DataFrame:
+    key = F.concat_ws("\u0001", "language", "name")
+    found = nodes(s, d).filter("kind not in ('import', 'file') and name is not null").groupBy(key.alias("key")).agg(F.min("id").alias("def_id"))
+    asked = nodes(s, d).select("id", F.when((C("kind") == "import") & C("name").isNotNull(), key).alias("key"))
+    return skew.lookup(asked, found, "key").select("id", F.coalesce("def_id", "id").alias("shown_id"))
+
+
+q("jn45_siblings_within", """SELECT DISTINCT e.source AS id, e.target AS sibling_id FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN ('calls', 'references') AND a.file_path = b.file_path AND e.source <> e.target""")(
+    lambda s, d: _both_ends(s, d, edges(s, d).filter("kind in ('calls', 'references') and source <> target")).filter("a = b").select(C("source").alias("id"), C("target").alias("sibling_id"))
+)
+
+
+def _both_ends(s: SparkSession, d: str, e: DataFrame) -> DataFrame:
+    """Distinct (source, target) with the files a and b of both ends, joined one end at a time."""
+    where = nodes(s, d).select("id", "file_path").dropDuplicates(["id"])
+    one = skew.lookup(cut(e.select("source", "target").distinct()), where.select(C("id").alias("source"), C("file_path").alias("a")), "source", "inner")
+    return skew.lookup(cut(one), where.select(C("id").alias("target"), C("file_path").alias("b")), "target", "inner")
+
+
+q("gr21_blast_radius", """WITH t AS (SELECT id, file_path FROM nodes WHERE signature IS NOT NULL AND start_line % 30 = 3) SELECT t.id, count(DISTINCT e.source) AS n_callers, count(DISTINCT n.file_path) AS n_files FROM t JOIN edges e ON e.target = t.id AND e.kind = 'calls' JOIN nodes n ON n.id = e.source WHERE n.file_path <> t.file_path GROUP BY 1""")(
+    lambda s, d: _both_ends(s, d, edges(s, d).filter("kind = 'calls'").join(nodes(s, d).filter("signature is not null and start_line % 30 = 3").select(C("id").alias("target")), "target", "left_semi"))
+    .filter("a <> b").groupBy(C("target").alias("id"), "a").agg(N()).groupBy("id").agg(F.sum("n").alias("n_callers"), F.count(F.lit(1)).alias("n_files"))
+)
+q("agg10_module_structure", r"SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS directory, string_agg(regexp_extract(path, '([^/]*)$', 1), ',' ORDER BY path) AS names FROM files GROUP BY 1")(
+    lambda s, d: files(s, d).groupBy(tx.directory(C("path")).alias("directory")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("path")), tx.base_name), ",").alias("names"))
+)
+q("rk29_dot_products", """SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 5""")(
+    lambda s, d: search.nearest(table(s, d, "embeddings"), table(s, d, "embeddings").filter("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+)
+q("rk58_following_page", "SELECT name FROM (SELECT DISTINCT name FROM nodes) WHERE name > 'harbor' ORDER BY name LIMIT 50")(lambda s, d: nodes(s, d).filter(C("name") > "harbor").select("name").distinct().orderBy("name").limit(50))
+q("set11_changed_content", "SELECT f.path FROM files f JOIN content c ON c.hash = f.content_hash WHERE sha256(c.doc) <> f.content_hash UNION ALL SELECT path FROM files WHERE content_hash NOT IN (SELECT hash FROM content)")(
+    lambda s, d: files(s, d).select("path", C("content_hash").alias("hash")).join(content(s, d).select("hash", F.sha2("doc", 256).alias("now")), "hash", "left").filter("now is null or now <> hash").select("path")
+)
+q("set13_first_files_of_matches", "SELECT file_path, min(start_line) AS line FROM nodes WHERE contains(lower(name), 'cache') GROUP BY 1 ORDER BY line, file_path LIMIT 20")(
+    lambda s, d: nodes(s, d).filter(F.lower("name").contains("cache")).groupBy("file_path").agg(F.min("start_line").alias("line")).orderBy("line", "file_path").limit(20)
+)
+q("sc12_stems")(lambda s, d: nodes(s, d).select(F.explode(F.regexp_extract_all(F.lower("name"), F.lit("[a-z]+"), 0)).alias("word")).distinct().select("word", F.pandas_udf(lambda w: w.map(sections.stem), "string")("word").alias("stem")))
+q("sc35_metadata_types", "SELECT id, CASE json_type(metadata, '$.confidence') WHEN 'DOUBLE' THEN 'number' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' END AS type FROM edges WHERE metadata IS NOT NULL AND json_valid(metadata)")(
+    lambda s, d: edges(s, d).withColumn("v", F.try_parse_json("metadata")).filter("v is not null").select("id", F.schema_of_variant(F.try_variant_get("v", "$.confidence", "variant")).alias("x"))
+    .select("id", F.when(C("x").startswith("DECIMAL") | C("x").isin("BIGINT", "DOUBLE"), "number").when(C("x") == "STRING", "string").when(C("x") == "BOOLEAN", "boolean").alias("type"))
+)
+q("sc37_matching_paths", r"SELECT path, suffix(path, 'index.ts') OR suffix('index.ts', path) AS matches FROM (SELECT regexp_replace(lower(path), '^\.?/+', '') AS path FROM files)")(
+    lambda s, d: files(s, d).select(F.regexp_replace(F.lower("path"), r"^\.?/+", "").alias("path")).select("path", (C("path").endswith("index.ts") | F.lit("index.ts").endswith(C("path"))).alias("matches"))
+)
+q("snk06_document_objects", "SELECT doc_id, title, collection, length(text) AS n_chars FROM documents")(
+    lambda s, d: sinks.as_json(docs(s, d).select("doc_id", "title", "collection", F.length("text").alias("n_chars"))).select(F.from_json("line", "doc_id long, title string, collection string, n_chars long").alias("o")).select("o.*")
+)
