@@ -180,8 +180,6 @@ def test_queries_agree_with_sql(spark, data):
         for name, sql in module.ORACLE.items():
             assert name not in names and name in entry.queries()
             names[name] += 1
-            if name.startswith(("p1_h", "p1_d", "gr08")):
-                continue  # compared on fixtures above; slow for their many rounds
             df = module.QUERIES[name](spark, data)
             r = con.execute(sql)
             if rows(df.columns, df.collect()) != rows([x[0] for x in r.description], r.fetchall()):

@@ -2,14 +2,11 @@ import math
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from thicket.functions import ranking as rk
 from thicket.functions import text as tx
 from thicket.operators import graph, sections, symbols
-from thicket.plans import wider_queries
 
 
 def brute_chunks(text, size=300, shared=40, window=80):
@@ -111,21 +108,3 @@ def test_names_resolve_past_the_ceiling(spark):
     rows = {r.ref_id: (r.id, r.score) for r in graph.resolve_names(refs, nodes, None).collect()}
     assert rows == {"r1": ("own", 3), "r2": ("near", 2), "r3": ("d000", 1)}
     assert graph.resolve_names(refs, nodes, 5).count() == 0
-
-
-@pytest.mark.parametrize("name", sorted(set(wider_queries.QUERIES) & set(wider_queries.ORACLE)))
-def test_wider_queries_equal_their_sql(spark, data, name):
-    import os
-
-    import duckdb
-
-    from tools.compare import rows
-
-    con = duckdb.connect()
-    for f in os.listdir(data):
-        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{data}/{f}'")
-    df = wider_queries.QUERIES[name](spark, data)
-    want = con.execute(entry.oracle_sql()[name])
-    names = [x[0] for x in want.description]
-    assert sorted(names) == sorted(df.columns)
-    assert rows(df.columns, df.collect()) == rows(names, want.fetchall())
