@@ -120,3 +120,40 @@ def test_subjects_stay_within_bounds(spark, monkeypatch):
     monkeypatch.setattr(s, "MAX_SUBJECTS", 4)
     monkeypatch.setattr(s, "TRAINED_CHARS", 70)
     assert s.found_subjects(docs, labels, areas).count() >= 0
+
+
+def test_all_labelled_texts_are_counted(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rows = corpus(random.Random(5), 150)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, rows[3][1]), (500, None), (501, "12. 34!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, m) for i, _, mine in rows for m in mine or [None]] + [(500, "law"), (501, "law")], "doc_id long, subject string")
+    names = ["law", "music", "sport"]
+    areas = spark.createDataFrame([(x,) for x in names], "subject string")
+    whole = {tuple(r) for r in s.found_subjects(docs, labels, areas).collect()}
+    monkeypatch.setattr(s, "TRAINED_CHARS", 300)  # fewer characters than three texts have
+    monkeypatch.setattr(s, "COUNTS", 10)
+    assert {tuple(r) for r in s.found_subjects(docs, labels, areas).collect()} == whole
+    assert len(whole & {(i, m) for i, _, mine in rows for m in mine}) / len(whole) > 0.9
+
+    # The models are those of one process that has all texts at once, and those of the halves have a half each.
+    labelled = s.labelled_words(docs, s.label_sets(labels, names))
+    half = {r.doc_id: r.half for r in labelled.collect()}
+    assert set(half) == {*range(150), 501}
+    fitting = s.Fitting(labelled, 3)
+    assert set(fitting.vocabulary) == {w for _, t, _ in rows for p in s.plain(t) for x in p for w in x}
+    for fit, model in enumerate(fitting.models):
+        mine = [(t, {names.index(m) for m in own}) for i, t, own in rows if fit == 2 or half[i] != fit]
+        text, own = s.Text([t for t, _ in mine], fitting.vocabulary), [x for _, x in mine]
+        expected = None
+        for _ in range(s.ROUNDS + 1):
+            expected = s.Models(*s.counted(text, s.passage_subjects(expected, text, own, 3), len(fitting.vocabulary), 0, 3), 3, len(fitting.vocabulary))
+        assert np.array_equal(model.pairs, expected.pairs)
+        assert np.allclose(model.alone, expected.alone) and np.allclose(model.after, expected.after)
+
+
+def test_threshold_of_blocks():
+    assert s.threshold([]) == 0.3 and s.threshold([(2, 25, 0.5)]) == 0.3
+    assert s.threshold([(20, 25, 0.9), (22, 25, 0.6), (15, 25, 0.4), (3, 25, 0.1)]) == 0.4
